@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import media, mixing, sharding, tokencount
 from .common import table, word_count
 
 
@@ -31,7 +31,21 @@ def op2_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencount.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_bytes": op2_shard_bytes,
+    "op5_ogg_media": op5_ogg_media,
+    "op7_token_counts": op7_token_counts,
 }
