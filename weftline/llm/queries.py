@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, sharding, tokencount
-from .common import table, word_count
+from . import media, mixing, quality, sharding, tokencount
+from .common import crc_mod, table, word_count
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,22 @@ def op2_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """The model of op4 and of the pipeline: learned from labels outside the held-out fifth."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.train(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"), lambda doc_id: crc_mod(doc_id, 5) != 0)
+
+
+#: Documents that score less are rejected.
+QUALITY_CUT = 0.3
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.scored(docs, quality_model(spark, sf_dir))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -46,6 +62,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_bytes": op2_shard_bytes,
+    "op4_quality": op4_quality,
     "op5_ogg_media": op5_ogg_media,
     "op7_token_counts": op7_token_counts,
 }
