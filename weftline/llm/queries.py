@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, quality, sharding, tokencount
+from . import media, mixing, quality, secrets, sharding, tokencount
 from .common import crc_mod, table, word_count
 
 
@@ -59,10 +59,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets.scan(docs)
+    base = F.filter("spans", lambda s: s["kind"] != "own")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[number(kind) for kind in secrets.KINDS], F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["verdict"] == "live")).cast("long").alias("n_live"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_bytes": op2_shard_bytes,
     "op4_quality": op4_quality,
     "op5_ogg_media": op5_ogg_media,
     "op7_token_counts": op7_token_counts,
+    "op10_secrets": op10_secrets,
 }
