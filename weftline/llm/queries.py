@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, quality, secrets, sharding, tokencount
+from . import media, mixing, ngramjoin, quality, secrets, sharding, tokencount
 from .common import crc_mod, table, word_count
 
 
@@ -51,6 +51,10 @@ def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.linked_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard_bytes": op2_shard_bytes,
     "op4_quality": op4_quality,
     "op5_ogg_media": op5_ogg_media,
+    "op6_ngram_join": op6_ngram_join,
     "op7_token_counts": op7_token_counts,
     "op10_secrets": op10_secrets,
 }
