@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, ngramjoin, quality, secrets, sharding, tokencount
+from . import lmscore, media, mixing, ngramjoin, quality, secrets, sharding, tokencount
 from .common import crc_mod, table, word_count
 
 
@@ -63,6 +63,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    scores, n = lmscore.score_all(docs, ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = secrets.scan(docs)
@@ -81,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ogg_media": op5_ogg_media,
     "op6_ngram_join": op6_ngram_join,
     "op7_token_counts": op7_token_counts,
+    "op8_suffix_tree": op8_suffix_tree,
     "op10_secrets": op10_secrets,
 }
