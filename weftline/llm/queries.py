@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lmscore, media, mixing, ngramjoin, quality, secrets, sharding, tokencount
+from . import lmscore, media, mixing, ngramjoin, quality, secrets, sharding, suffixes, tokencount
 from .common import crc_mod, table, word_count
 
 
@@ -70,6 +70,10 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = secrets.scan(docs)
@@ -89,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": op6_ngram_join,
     "op7_token_counts": op7_token_counts,
     "op8_suffix_tree": op8_suffix_tree,
+    "op9_suffix_array": op9_suffix_array,
     "op10_secrets": op10_secrets,
 }
