@@ -228,3 +228,16 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text", metadata: t
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(got, pa.float64())], names=[*batch.schema.names[:n], "score"])
 
     return slim.mapInArrow(run, T.StructType([*slim.select(*keep).schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def accepted(docs: DataFrame, model: Model, cut: float, *, text_col: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of docs whose score is `cut` or more."""
+    place, more = docs.columns.index(text_col), [docs.columns.index(c) for c in metadata]
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            got = shipped.value.score(utf8(batch.column(place)), [batch.column(k).to_pylist() for k in more])
+            yield batch.filter(pa.array(got >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lmscore, media, mixing, ngramjoin, quality, secrets, sharding, suffixes, tokencount
+from . import decontaminate, lmscore, media, mixing, ngramjoin, quality, secrets, sharding, suffixes, tokencount
 from .common import crc_mod, table, word_count
 
 
@@ -31,10 +31,13 @@ def op2_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> quality.Model:
     """The model of op4 and of the pipeline: learned from labels outside the held-out fifth."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.train(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"), lambda doc_id: crc_mod(doc_id, 5) != 0)
+    return quality.train(docs.select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "quality"), lambda doc_id: crc_mod(doc_id, 5) != 0)
 
 
 #: Documents that score less are rejected.
@@ -43,7 +46,7 @@ QUALITY_CUT = 0.3
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = quality.scored(docs, quality_model(spark, sf_dir))
+    scored = quality.scored(docs, quality_model(docs, spark, sf_dir))
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
@@ -88,6 +91,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_bytes": op2_shard_bytes,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
     "op5_ogg_media": op5_ogg_media,
     "op6_ngram_join": op6_ngram_join,
