@@ -37,17 +37,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: every source at its target, by whole and seeded extra repetitions of documents."""
     sized = table(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     plan = mixing.mixture_plan(sized, mixing.cyclic_weights(sized))
-    drawn = mixing.with_repetitions(docs, plan, id_col="doc_id", source_col="source")
-    copies = drawn.where(F.col(drawn.columns[-1]) > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(drawn.columns[-1]))))
+    drawn = mixing.with_repetitions(docs, plan, id_col="doc_id", source_col="source", prefix="__mix_")
+    copies = drawn.where(F.col("__mix_repetitions") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_repetitions"))))
     return copies.select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: 16 contiguous shards of equal bytes; adds shard and slot."""
-    numbered = table(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
-    sized = numbered.select("__row", "doc_id", sharding.byte_size(F.col("text")).alias("size"))
-    placed = sharding.contiguous_shards(sized, order=["doc_id", "__row"]).select("__row", "shard", "slot")
-    return numbered.join(placed, "__row").drop("__row")
+    numbered = table(docs.withColumn("__number", F.monotonically_increasing_id()), "pipeline-rows")
+    sized = numbered.select("__number", "doc_id", sharding.byte_size(F.col("text")).alias("size"))
+    placed = sharding.contiguous_shards(sized, order=["doc_id", "__number"]).select("__number", "shard", "slot")
+    return numbered.join(placed, "__number").drop("__number")
 
 
 STAGES = [

@@ -94,15 +94,15 @@ def mixture_plan(sized: DataFrame, weights: DataFrame, *, max_epochs: float = 3.
     )
 
 
-def with_repetitions(docs: DataFrame, plan: DataFrame, *, id_col: str, source_col: str, seed: str = "mix") -> DataFrame:
-    """`docs` with source_size, target and repetitions (0 to max_epochs) by the plan; a map-side join
-    while the plan is small enough for the session's broadcast threshold."""
+def with_repetitions(docs: DataFrame, plan: DataFrame, *, id_col: str, source_col: str, seed: str = "mix", prefix: str = "") -> DataFrame:
+    """`docs` with source_size, target and repetitions (0 to max_epochs) by the plan, under names with
+    `prefix`; a map-side join while the plan is small enough for the session's broadcast threshold."""
     bits, key = unit_bits(seed, F.col(id_col)), id_text(F.col(id_col))
-    renamed = plan.toDF(*[f"__{c}" for c in plan.columns])
-    joined = docs.join(renamed, docs[source_col].eqNullSafe(renamed["__source"]))
-    extra = (bits < F.col("__cut_bits")) | ((bits == F.col("__cut_bits")) & (key <= F.col("__cut_key")))
-    reps = F.col("__whole") + F.when(extra, 1).otherwise(0)
-    return joined.select(*[docs[c] for c in docs.columns], F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), reps.alias("repetitions"))
+    renamed = plan.toDF(*[f"__mix_{c}" for c in plan.columns])
+    joined = docs.join(renamed, docs[source_col].eqNullSafe(renamed["__mix_source"]))
+    extra = (bits < F.col("__mix_cut_bits")) | ((bits == F.col("__mix_cut_bits")) & (key <= F.col("__mix_cut_key")))
+    reps = F.col("__mix_whole") + F.when(extra, 1).otherwise(0)
+    return joined.select(*[docs[c] for c in docs.columns], F.col("__mix_source_size").alias(f"{prefix}source_size"), F.col("__mix_target").alias(f"{prefix}target"), reps.alias(f"{prefix}repetitions"))
 
 
 def cyclic_weights(sized: DataFrame, cycle: int = 3) -> DataFrame:
