@@ -114,6 +114,7 @@ ORACLES: dict[str, str] = {
     "in_contrib": f"WITH {PARTS}, o AS (SELECT src, count(*) AS n FROM e GROUP BY src) SELECT dst AS id, round(sum(1.0::DOUBLE / n), 9) AS received FROM e JOIN o USING (src) GROUP BY dst",
     "dead_end_links": f"WITH {GRAPH} SELECT id FROM g WHERE id NOT IN (SELECT src FROM e WHERE src <> dst)",
     "aggregators": f"WITH {PARTS} SELECT sum(length(id) + 1)::DOUBLE AS total, count(*)::DOUBLE AS change, count(*) AS n, count(*) AS active FROM v",
+    "bsp_broadcast": f"WITH {PARTS}, w AS (SELECT id, ('0x' || substr(md5(id), 1, 12))::BIGINT::DOUBLE AS x FROM v) SELECT v.id, coalesce((SELECT max(x) FROM e JOIN w ON w.id = e.src WHERE e.dst = v.id), (SELECT x FROM w WHERE w.id = v.id)) AS value FROM v",
     "bsp_freeze": f"WITH {PARTS} SELECT id, CASE WHEN id LIKE 'p%' THEN (SELECT count(*) FROM e WHERE dst = id) ELSE 0 END::DOUBLE AS value, false AS active FROM v",
     "pagerank_pages_fixed": _ranks(GRAPH, "g", 7),
     "pagerank_parts_fixed": _ranks(PARTS, "v", 7),
