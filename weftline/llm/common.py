@@ -137,7 +137,7 @@ def words_of(texts: list[bytes], drop: bytes = b"") -> tuple[np.ndarray, np.ndar
     return hashes, offsets
 
 
-def blocks(values: list, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def blocks(values: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cuts of a list of byte strings into runs of about `limit` bytes; a longer string stands alone."""
     first, held = 0, 0
     for i, v in enumerate(values):
