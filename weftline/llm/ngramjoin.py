@@ -9,12 +9,14 @@ prefix for l = 1. Both are lossless. The order is by rarity: a fixed-size table
 shingles of all documents (hash bucket -> number of documents) comes first, the hash breaks ties, so
 what many documents share is last and hardly ever listed.
 
-Documents with equal sets form a class and only its representative goes on. Lists are never expanded
-into all their pairs: first every member is compared with the list's first member; the components of
-those links are found; only lists with more than one component left go on, one of each membership.
-There, pairs across components are compared by 1,024-bit parity maps (a lossless bound on the sets'
-difference), long lists in blocks of fixed size, and what passes is verified. Verification compares
-whole sets of 64-bit shingle hashes. So no link between different texts is lost.
+Documents with equal sets form a class and only its representative goes on. Of lists with the same
+members one is kept. Members of a list are compared by parity maps (a lossless bound on the sets' difference,
+of a power of two bits, as many as the set has shingles and 1,024 at least) first: short lists by a join, long ones in blocks of fixed size, each of which hands
+over no more than a spanning forest of what the maps allow. The components of these candidates are
+clusters: any similar pair lies within one. Each cluster's whole sets of 64-bit shingle hashes come
+together once, again in blocks if it is large; pairs are verified nearest first, those that links have
+joined already are skipped, and a block hands over a spanning forest of true links. So no group is
+expanded into its pairs, and no link between different texts is lost.
 
 Defined results: A-Z are lower-cased; a text with fewer than `width` words is one shingle, the whole
 sequence; null, empty and blank texts have no shingles and are linked with nothing, not even each
@@ -37,9 +39,9 @@ from .components import components
 WIDTH = 5
 SKETCH_BITS = 20
 CHUNK = 1 << 14
-MAP_LONGS = 16  # 1,024 bits
+LEAST_MAP = 1024  # bits
 SMALL_LIST = 32
-BLOCK = 1024
+BLOCK = 512
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -118,10 +120,44 @@ def shingle_counts(texts: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 SETS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
-    T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("load", T.LongType()), T.StructField("map", T.ArrayType(T.LongType())),
+    T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("load", T.LongType()), T.StructField("map", T.ArrayType(T.LongType())), T.StructField("lead", T.BooleanType()),
 ])
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """For each value of the hashes' low bits, whether a set has an odd number of such shingles. The
+    exclusive or of a map's halves is the map of half the size."""
+    bits = max(LEAST_MAP, 1 << (len(shingles) - 1).bit_length())
+    parity = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.uint64)
+
+
+class Maps:
+    """Maps of several sets, for the least differences between one and many."""
+
+    def __init__(self, maps: list[np.ndarray]):
+        self.kind = np.array([len(m).bit_length() for m in maps])
+        self.row, self.full, self.half = np.empty(len(maps), np.int64), {}, {}
+        for kind in np.unique(self.kind).tolist():
+            own = np.flatnonzero(self.kind == kind)
+            self.row[own] = np.arange(len(own))
+            whole = self.full[kind] = np.stack([maps[i] for i in own])
+            middle = whole.shape[1] // 2
+            self.half[kind] = whole[:, :middle] ^ whole[:, middle:]
+
+    def differences(self, k: int, others: np.ndarray) -> np.ndarray:
+        """At least so many shingles are in one of k and each other set only. Sets of similarity 0.8 or
+        more have maps of one size or the next; others count as far apart."""
+        out, own = np.full(len(others), 1 << 60), int(self.kind[k])
+        for kind in (own - 1, own, own + 1):
+            at = np.flatnonzero(self.kind[others] == kind)
+            if len(at):
+                many = (self.half if kind > own else self.full)[kind][self.row[others[at]]]
+                one = (self.half if kind < own else self.full)[own][self.row[k]]
+                out[at] = np.bitwise_count(many ^ one).sum(1, dtype=np.int64)
+        return out
+
+
 def node_of(shingles: np.ndarray) -> int:
     """64-bit hash of a set."""
     return int(mix(mix(shingles, 11).sum(dtype=np.uint64, keepdims=True), len(shingles)).view(np.int64)[0])
@@ -134,14 +170,16 @@ def needed(n: int) -> int:
 
 def described_sets(docs: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
     """One row of SETS per document: size, hash of the set, prefix for l = 2 in order of rarity,
-    how often the prefix for l = 1 occurs by the counts, and the parity map."""
+    how often the prefix for l = 1 occurs by the counts, and the parity map. `lead` is set for the first
+    row of a set in a task; the copies behind it carry the hash only."""
     shipped = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             table_of = shipped.value
             noise = int(np.median(table_of))
-            size, nodes, prefixes, loads, maps = [], [], [], [], []
+            size, nodes, prefixes, loads, maps, lead = [], [], [], [], [], []
             for s in _each(batch.column(1), width):
                 n = len(s)
                 often = np.minimum(table_of[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], (1 << 20) - 1)
@@ -149,13 +187,19 @@ def described_sets(docs: DataFrame, counts: np.ndarray, width: int) -> DataFrame
                 p = n - needed(n) + 1
                 size.append(n)
                 nodes.append(node_of(s))
-                prefixes.append(_longs(s[order[: p + 1]]) if n >= 4 else np.zeros(0, np.int64))
-                loads.append(int(np.maximum(0, often[order[:p]] - noise).sum()) if n >= 4 else 0)
-                parity = np.bincount((s & np.uint64(64 * MAP_LONGS - 1)).astype(np.int64), minlength=64 * MAP_LONGS) & 1
-                maps.append(np.packbits(parity.astype(np.uint8)).view(np.int64) if n >= 4 else np.zeros(0, np.int64))
+                lead.append(n >= 4 and nodes[-1] not in seen)
+                seen.add(nodes[-1])
+                if not lead[-1]:
+                    prefixes.append(np.zeros(0, np.int64))
+                    loads.append(0)
+                    maps.append(np.zeros(0, np.int64))
+                    continue
+                prefixes.append(_longs(s[order[: p + 1]]))
+                loads.append(int(np.maximum(0, often[order[:p]] - noise).sum()))
+                maps.append(parity_map(s).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(x, pa.int64()) for x in (size, nodes)], _long_lists(prefixes), pa.array(loads, pa.int64()), _long_lists(maps)],
-                schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("load", pa.int64()), ("map", pa.list_(pa.int64()))]),
+                [batch.column(0), *[pa.array(x, pa.int64()) for x in (size, nodes)], _long_lists(prefixes), pa.array(loads, pa.int64()), _long_lists(maps), pa.array(lead, pa.bool_())],
+                schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("load", pa.int64()), ("map", pa.list_(pa.int64())), ("lead", pa.bool_())]),
             )
 
     return docs.mapInArrow(run, SETS)
@@ -194,9 +238,13 @@ def _size_fits(n: Column, m: Column) -> Column:
 
 
 def _maps_fit(a: Column, b: Column, n: Column, m: Column) -> Column:
-    """Sets of similarity 0.8 or more differ in at most a ninth of their joint size, and so do their maps."""
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return 9 * differ <= n + m
+    """Sets of similarity 0.8 or more differ in at most a ninth of their joint size, and so do their maps.
+    Of maps of two sizes, the larger is folded."""
+    middle = lambda x: (F.size(x) / 2).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), middle(x)), F.slice(x, middle(x) + 1, middle(x)), lambda p, q: p.bitwiseXOR(q))
+    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    least = F.when(F.size(a) == F.size(b), differ(a, b)).when(F.size(a) > F.size(b), differ(folded(a), b)).otherwise(differ(a, folded(b)))
+    return 9 * least <= n + m
 
 
 def _mark(ids: DataFrame, bits: int = 24) -> np.ndarray:
@@ -236,54 +284,95 @@ def _sets_for(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Those of `pairs` (a, b) with 100 * intersection >= 80 * union, by their whole sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.select("node", "doc_id").join(nodes, "node", "left_semi")
-    sets = table(_sets_for(docs, wanted, width), "join-sets")
-    first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.select("a", "b").join(second, "b").join(first, "a").where(100 * shared >= 80 * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components within lists that pass the bounds. `members`: key, node, n, map,
-    label, c (length of the list)."""
-    small = members.where(F.col("c") <= SMALL_LIST)
-    left = small.select("key", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("map").alias("m1"), F.col("label").alias("l1"))
-    right = small.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("map").alias("m2"), F.col("label").alias("l2"))
-    near = (
-        left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("l1") != F.col("l2")))
-        .where(_size_fits(F.col("n1"), F.col("n2")) & _maps_fit(F.col("m1"), F.col("m2"), F.col("n1"), F.col("n2"))).select("a", "b")
-    )
-
-    count = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), count.cast("long")).cast("int")
-    long = (
-        members.where(F.col("c") > SMALL_LIST).withColumn("own", own)
-        .select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "map", "label")
-    )
+def _short_pairs(lists: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (a, b) within short lists that pass the bounds."""
+    members = lists.where(F.col("c") <= SMALL_LIST).select("key", "node").join(maps, "node").select("key", "node", "n", "map")
+    left, right = members.toDF("key", "a", "n1", "m1"), members.toDF("key", "b", "n2", "m2")
+    fits = _size_fits(F.col("n1"), F.col("n2")) & _maps_fit(F.col("m1"), F.col("m2"), F.col("n1"), F.col("n2"))
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * shared >= 80 * (len(a) + len(b) - shared)
+
+
+def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between members of `left` and `right` (places in `sets`): enough to give the components of
+    all such links. Nearest pairs are tried first."""
+    part, out, same = np.arange(len(sets)), [], np.array_equal(left, right)
+    size = np.array([len(x) for x in sets])
+    maps = Maps([parity_map(x) for x in sets])
+    for k in left.tolist():
+        near = right[(part[right] != part[k]) & ((right > k) | (not same)) & (5 * np.minimum(size[right], size[k]) >= 4 * np.maximum(size[right], size[k]))]
+        differ = maps.differences(k, near)
+        fits = 9 * differ <= size[near] + size[k]
+        near = near[fits][np.argsort(differ[fits], kind="stable")]
+        while len(near):
+            other, near = near[0], near[1:]
+            if similar(sets[k], sets[other]):
+                out.append((k, int(other)))
+                part[part == part[other]] = part[k]
+                near = near[part[near] != part[k]]
+    return out
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of lists (key, node, ...) to all pairs of blocks (i, j) of their list."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("count"))
+    own = F.pmod(F.xxhash64("node"), F.col("count").cast("long")).cast("int")
+    dealt = members.join(sizes, "key").withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "count")
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    own = rows.column("own").to_numpy()
+    return tuple(np.flatnonzero(own == rows.column(c)[0].as_py()) for c in ("i", "j"))
+
+
+def map_forest(maps: Maps, size: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between members of `left` and `right` (places) that the maps allow: a spanning forest."""
+    part, out, same = np.arange(len(size)), [], np.array_equal(left, right)
+    for k in left.tolist():
+        rest = right[(part[right] != part[k]) & ((right > k) | (not same)) & (5 * np.minimum(size[right], size[k]) >= 4 * np.maximum(size[right], size[k]))]
+        for other in rest[9 * maps.differences(k, rest) <= size[rest] + size[k]].tolist():
+            if part[other] != part[k]:
+                out.append((k, other))
+                part[part == part[other]] = part[k]
+    return out
+
+
+def _split(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """A column of lists of longs as arrays."""
+    lists = column.combine_chunks()
+    flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def _found_pairs(node: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
+    a, b = (np.array([node[f[k]] for f in found], np.int64) for k in (0, 1))
+    return pa.table({"a": a, "b": b})
+
+
+def _long_pairs(lists: DataFrame, maps: DataFrame) -> DataFrame:
+    """Candidate links (a, b) within long lists, forests only."""
 
     def compare(rows: pa.Table) -> pa.Table:
-        ids, n, label, own = (rows.column(c).to_numpy() for c in ("node", "n", "label", "own"))
-        maps = rows.column("map").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), MAP_LONGS)
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for k in left:
-            differ = np.bitwise_count(maps[right] ^ maps[k]).sum(1, dtype=np.int64)
-            fits = (label[right] != label[k]) & (5 * np.minimum(n[right], n[k]) >= 4 * np.maximum(n[right], n[k])) & (9 * differ <= n[right] + n[k])
-            if i == j:
-                fits &= ids[right] > ids[k]
-            hit = ids[right[fits]]
-            a.append(np.minimum(hit, ids[k]))
-            b.append(np.maximum(hit, ids[k]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(a or [empty]).astype(np.int64), "b": np.concatenate(b or [empty]).astype(np.int64)})
-
-    far = long.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
-    return near.unionByName(far).distinct()
+        node = rows.column("node").to_numpy()
+        return _found_pairs(node, map_forest(Maps(_split(rows.column("map"))), rows.column("n").to_numpy(), *_sides(rows)))
+
+    dealt = _dealt(lists.where(F.col("c") > SMALL_LIST).select("key", "node").join(maps, "node"))
+    return dealt.select("key", "i", "j", "own", "node", "n", "map").groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _true_links(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) within clusters (key, node), forests only, by whole sets (node, shingles)."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        return _found_pairs(rows.column("node").to_numpy(), forest(_split(rows.column("shingles")), *_sides(rows)))
+
+    dealt = _dealt(clusters).select("key", "i", "j", "own", "node").join(sets, "node")
+    return dealt.select("key", "i", "j", "own", "node", "shingles").groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -293,31 +382,19 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets = table(described_sets(docs, counts, width).withColumn("row", F.monotonically_increasing_id()), "join-described")
     some = sets.where(F.col("n") > 0)
     classes = table(some.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("row", "doc_id")).alias("first"), F.min("doc_id").alias("least")).select("node", "n", "first.*", "least"), "join-classes")
-    reps = some.where(F.col("n") >= 4).join(classes.where(F.col("n") >= 4).select("row"), "row", "left_semi").select("node", "n", "prefix", "load", "map")
-
-    listed = postings(reps, boundary_of(reps.select("n", "load"))).repartition("key")
-    heads = listed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("head")).where(F.col("c") > 1)
-    lists = table(listed.join(heads, "key").select("key", "node", "n", "c", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "join-lists")
-
-    maps = reps.select("node", "map", "n")
-    heads_first = lists.where((F.col("node") != F.col("head")) & _size_fits(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    stars = (
-        heads_first.join(maps.toDF("a", "m1", "n1"), "a").join(maps.toDF("b", "m2", "n2"), "b")
-        .where(_maps_fit(F.col("m1"), F.col("m2"), F.col("n1"), F.col("n2"))).select("a", "b")
-    )
-    links = table(verified(table(stars, "join-stars"), classes, docs, width), "join-links")
+    leads = sets.where("lead").select("node", "n", "prefix", "load", "map")
+    maps = leads.dropDuplicates(["node"]).select("node", "map", "n")
+
+    listed = postings(leads, boundary_of(leads)).repartition("key").dropDuplicates(["key", "node"])
+    heads = listed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.hash("node").cast("long")).alias("s1"), F.bit_xor(F.xxhash64("node")).alias("s2"))
+    kept = heads.where(F.col("c") > 1).groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key", "c")
+    lists = table(listed.join(kept, "key"), "join-lists")
+    pairs = table(_short_pairs(lists, maps).unionByName(_long_pairs(lists, maps)), "join-pairs")
+    clusters = table(components(pairs, "join-clusters").withColumnRenamed("component", "key"), "join-clusters")
+    wanted = classes.select("node", "doc_id").join(clusters.select("node"), "node", "left_semi")
+    links = table(_true_links(clusters, _sets_for(docs, wanted, width)), "join-links")
     found = components(links, "join-components")
 
-    labelled = lists.select("key", "node", "n", "c").join(found, "node", "left").select("key", "node", "n", "c", F.coalesce("component", "node").alias("label"))
-    open_lists = (
-        labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("c").alias("c"), F.sum(F.hash("node").cast("long")).alias("s1"), F.bit_xor(F.xxhash64("node")).alias("s2"))
-        .where(F.col("low") != F.col("high")).groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key")
-    )
-    members = labelled.join(open_lists, "key", "left_semi").join(maps.select("node", "map"), "node")
-    rest = table(_cross_pairs(members.select("key", "node", "n", "map", "label", "c")), "join-rest")
-    if rest.take(1):
-        found = components(links.unionByName(verified(rest, classes, docs, width)), "join-final")
-
     label = F.coalesce("component", "node")
     labels = classes.select("node", "least").join(found, "node", "left").select("node", label.alias("label"), "least")
     least = labels.groupBy("label").agg(F.min("least").alias("component_id"))
