@@ -89,9 +89,10 @@ def mixture_plan(sized: DataFrame, weights: DataFrame, *, max_epochs: float = 3.
         F.coalesce(F.col("last.bits"), F.shiftleft(F.col("c_band").cast("long"), _BAND_BITS) - 1).alias("cut_bits"),
         F.coalesce(F.col("last.key"), F.lit("")).alias("cut_key"),
     )
-    return planned.join(bound, F.expr("source <=> c_source"), "left").select(
+    plan = planned.join(bound, F.expr("source <=> c_source"), "left").select(
         "source", "source_size", "target", "whole", F.coalesce("cut_bits", F.lit(-1).cast("long")).alias("cut_bits"), F.coalesce("cut_key", F.lit("")).alias("cut_key")
     )
+    return table(plan, "mix-plan")  # of known size, so that joins with it need not move the documents
 
 
 def with_repetitions(docs: DataFrame, plan: DataFrame, *, id_col: str, source_col: str, seed: str = "mix", prefix: str = "") -> DataFrame:
