@@ -24,8 +24,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Operator 6: of documents linked by shared 5-word shingles, the one with the smallest id stays.
     Documents without an id cannot be named and stay; rows that share an id stay or go together."""
     grouped = ngramjoin.linked_components(docs)
-    gone = grouped.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = table(grouped.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "pipeline-gone")
+    return ngramjoin.without_ids(docs, gone)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = table(docs.withColumn("__number", F.monotonically_increasing_id()), "pipeline-rows")
     sized = numbered.select("__number", "doc_id", sharding.byte_size(F.col("text")).alias("size"))
     placed = sharding.contiguous_shards(sized, order=["doc_id", "__number"]).select("__number", "shard", "slot")
-    return numbered.join(placed, "__number").drop("__number")
+    return numbered.join(placed.hint("merge"), "__number").drop("__number")  # one row each: never a broadcast
 
 
 STAGES = [

@@ -266,17 +266,39 @@ def _mark(ids: DataFrame, bits: int = 24) -> np.ndarray:
     return total
 
 
+def _marked(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
+    keys = ids.cast(pa.int64()).fill_null(0).to_numpy().view(np.uint64)
+    hit = np.ones(len(keys), bool)
+    for salt in (1, 2):
+        at = (mix(keys, salt) >> np.uint64(40)).astype(np.int64)
+        hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return hit
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in `gone` (one long column). A filter of fixed size lets most rows
+    pass where they are; only rows that it has meet the exact ids."""
+    gone = gone.toDF("__gone").distinct()
+    shipped, place = docs.sparkSession.sparkContext.broadcast(_mark(gone)), docs.columns.index(id_col)
+
+    def keep(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(_marked(shipped.value, batch.column(place)) == wanted))
+
+        return run
+
+    clear, suspect = (docs.mapInArrow(keep(w), docs.schema) for w in (False, True))
+    return clear.union(suspect.join(gone.hint("merge"), suspect[id_col] == gone["__gone"], "left_anti"))
+
+
 def _sets_for(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the sets in `wanted` (node, doc_id of a document that has it); texts are not moved."""
     shipped = docs.sparkSession.sparkContext.broadcast(_mark(wanted.select(F.coalesce("doc_id", F.lit(0).cast("long")))))
 
     def run(batches):
         for batch in batches:
-            keys = batch.column(0).fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
-            hit = np.ones(len(keys), bool)
-            for salt in (1, 2):
-                at = (mix(keys, salt) >> np.uint64(40)).astype(np.int64)
-                hit &= (shipped.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            hit = _marked(shipped.value, batch.column(0))
             sets = list(_each(batch.filter(pa.array(hit)).column(1), width))
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), _long_lists([_longs(s) for s in sets])], schema=pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
 
