@@ -305,6 +305,18 @@ def test_tree_is_a_distribution(spark):
         assert total == pytest.approx(1, abs=1e-9)
 
 
+def test_model_keeps_rare_contexts_at_any_size(spark):
+    """A context seen a few times is a state however long the corpus, and whether its grams lie in the broadcast or in the table."""
+    rng = random.Random(3)
+    words = vocabulary(rng, 300)
+    rows = [(k, " ".join(rng.choices(words, k=200))) for k in range(1000)] + [(5000 + k, "rarely quoted phrase") for k in range(6)] + [(6000, "rarely phrase quoted")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r.doc_id: (r.score, r.base_score) for r in lmscore.score_all(docs, F.lit(True), settings=s)[0].collect()} for s in (lmscore.Settings(), lmscore.Settings(symbol_share=1e-2), lmscore.Settings(symbol_share=1e-9, context_share=1e-9))]
+    assert got[0][5000][0] > got[0][6000][0] + 6 and got[0][5000][0] > got[0][5000][1] + 6
+    for other in got[1:]:
+        assert all(other[k][0] == pytest.approx(got[0][k][0], abs=1e-6) for k in got[0])
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
