@@ -355,6 +355,29 @@ def test_repeats(spark, folder, hot):
     assert QUERIES["op9_suffix_array"](spark, folder([])).count() == 0
 
 
+def test_hot_anchors_of_one_block(spark):
+    """Anchors with more than 255 pieces in one packed block are hot, and count each piece of a text."""
+    rng = random.Random(12)
+    words = vocabulary(rng)
+    passage = " ".join(rng.choices(words, k=30))
+    rows = [(k, rng.choice(words) + " " + passage + " " + rng.choice(words)) for k in range(400)]
+    few = [(k, (passage + " ") * 150 + rng.choice(words)) for k in range(3)]
+    for docs in (rows, few):
+        df = spark.createDataFrame([(k, k, t) for k, t in docs], "key long, ord long, text string").coalesce(1)
+        assert suffixes.shared_anchors([df], [None], suffixes.Settings(hot=300))[1].any()
+        assert not suffixes.shared_anchors([df], [None], suffixes.Settings(hot=1000))[1].any()
+        got = suffixes.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), settings=suffixes.Settings(hot=300)).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(docs)
+
+
+@pytest.mark.parametrize("top", [1 << 22, 1 << 40])
+def test_suffix_ranks_of_large_values(top):
+    rng = random.Random(2)
+    text = [rng.choice([1, 2, top - 1, top, rng.randint(1, top)]) for _ in range(400)]
+    order = sorted(range(400), key=lambda i: text[i:])
+    assert suffixes.suffix_ranks(np.array(text, np.int64))[order].tolist() == list(range(1, 401))
+
+
 def test_suffix_ranks():
     rng = random.Random(1)
     for n in [*range(12), 33, 100, 301]:
