@@ -228,6 +228,34 @@ def test_leaks(spark, folder):
     assert QUERIES["op3_decontaminate"](spark, folder([], items=items)).count() == 0 == QUERIES["op3_decontaminate"](spark, folder(rows)).count()
 
 
+@pytest.mark.parametrize("cut_off", [2, 4, 5])
+def test_leak_cut_at_both_ends(cut_off):
+    """An item without its first and last words is a leak wherever the document stands in its block."""
+    rng = random.Random(14)
+    words = vocabulary(rng, 3000)
+    item = rng.choices(words, k=50)
+    items = decontaminate.Items([7], [" ".join(item).encode()], decontaminate.Settings())
+    cut = " ".join(item[cut_off : 50 - cut_off]).encode()
+    other = [" ".join(rng.choices(words, k=80)).encode() for _ in range(3)]
+    for texts in ([cut], [cut, other[0]], [other[0], cut], [other[0], cut, other[1]], [other[0], b"", cut, b"", other[1]], [other[0], cut, cut, other[1]]):
+        assert items.find(texts) == [(k, 0, 2 * cut_off) for k, t in enumerate(texts) if t == cut]
+
+
+def test_leaks_do_not_depend_on_the_block():
+    rng = random.Random(15)
+    words = vocabulary(rng, 3000)
+    spoken = [rng.choices(words, k=n) for n in (6, 9, 14, 25, 50)]
+    items = decontaminate.Items(list(range(5)), [" ".join(w).encode() for w in spoken], decontaminate.Settings())
+    texts = []
+    for k in range(600):
+        w = list(spoken[k % 5])
+        cut = rng.randint(0, len(w) // 5)
+        w = w[cut // 2 : len(w) - (cut - cut // 2)] + rng.choices(words, k=rng.choice([0, 0, 1, 7]))
+        texts.append(" ".join(w).encode())
+    alone = [(k, item, n) for k, t in enumerate(texts) for _, item, n in items.find([t])]
+    assert items.find(texts) == alone and len({k for k, _, _ in alone}) > 500
+
+
 # ---------------------------------------------------------------- quality
 
 

@@ -143,20 +143,24 @@ class Items:
                 present[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
                 self.tables[steps, r] = (key[order], item[order], offset[order], present)
 
-    def candidates(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(item number, place in `words` where the item would begin) of all hits, with repeats."""
+    def candidates(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item number, place in `words` where the item would begin, text that holds the window's start) of all
+        hits, with repeats."""
+        text = np.repeat(np.arange(len(at) - 1), np.diff(at))
         place = np.arange(len(words)) - np.repeat(at[:-1], np.diff(at))
+        apart = np.zeros(len(words) + len(at), np.uint64)  # a walk stays on the 0 behind its text, whatever text comes next
+        apart[np.arange(len(words)) + text] = words
         for stride, lengths in self.strides.items():
             starts = np.flatnonzero(place % stride == 0)
             for r in range(self.s.repetitions):
-                for steps, key in walk(words, starts, lengths, r, self.s).items():
+                for steps, key in walk(apart, starts + text[starts], lengths, r, self.s).items():
                     keys, item, offset, present = self.tables[steps, r]
                     maybe = np.flatnonzero(present[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
                     low, high = np.searchsorted(keys, key[maybe], "left"), np.searchsorted(keys, key[maybe], "right")
                     number = high - low
                     own = np.repeat(np.arange(len(maybe)), number)
                     k = np.repeat(low - np.concatenate([[0], np.cumsum(number)[:-1]]), number) + np.arange(number.sum()) if len(maybe) else low
-                    yield item[k], starts[maybe[own]] - offset[k]
+                    yield item[k], starts[maybe[own]] - offset[k], text[starts[maybe[own]]]
 
     def _enough(self, words, item, low, high, least) -> np.ndarray:
         """Whether low..high holds `least` words of the item: true of every leak, and quick to see for all
@@ -180,13 +184,9 @@ class Items:
         if not len(words) or not self.words:
             return []
         hits = np.concatenate([np.stack(c) for c in self.candidates(words, at)], 1)
-        item, begin = np.unique(hits, axis=1) if hits.size else hits
-        # the item may hang over an end of its text: then the text is that of its first or of its last word
+        # the item may hang over either end of the text, or both
+        item, begin, doc = np.unique(hits, axis=1) if hits.size else hits
         size = np.array(self.size)[item]
-        doc = [np.searchsorted(at, np.clip(x, 0, len(words) - 1), "right") - 1 for x in (begin, begin + size - 1)]
-        both = np.flatnonzero(doc[0] != doc[1])
-        item, begin, size = (np.concatenate([x, x[both]]) for x in (item, begin, size))
-        doc = np.concatenate([doc[0], doc[1][both]])
         slack = (self.s.share * size).astype(np.int64)
         low, high = np.maximum(at[doc], begin - slack), np.minimum(at[doc + 1], begin + size + slack)
         best: dict[tuple[int, int], int] = {}
