@@ -149,3 +149,11 @@ def test_word_count(spark):
     df = spark.createDataFrame([("a\x0bb c  d\x85",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(word_count(F.col("t"))).collect()] == [3, 0, 0]
     assert df.select(sharding.byte_size(F.col("t")).alias("b")).collect()[1].b == 1
+
+
+def test_own_secrets_of_any_length(spark):
+    from weftline.llm import secrets
+
+    rows = [(n, "s", "x " + ("aB3" * n)[:n] + " y") for n in (19, 20, 200, 201, 5000)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in found} == {n: [("own", 2, 2 + n)] if n > 19 else [] for n, _, _ in rows}

@@ -33,8 +33,8 @@ HEX = r"[0-9a-f]+"
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 KINDS = ("assign", "access", "hex")
 
-#: What the method adds: whole runs of token characters of this length with a letter of either case and a digit.
-OWN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])"
+#: What the method adds: whole runs of 20 token characters or more with a letter of either case and a digit.
+OWN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"
 
 #: Quick tests that hold wherever a match is kept; they spare most rows the work on positions.
 _MAY = {
