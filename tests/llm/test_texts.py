@@ -315,34 +315,109 @@ def test_language_model(spark, folder):
     assert QUERIES["op8_suffix_tree"](spark, folder([])).count() == 0
 
 
-def test_tree_is_a_distribution(spark):
+def brute_tree(training, s):
+    """(root probability of a word, next-token probability of a word behind its predecessors) by counting every context."""
+    counts = [collections.Counter() for _ in range(s.depth + 1)]  # grams by order, without the start mark but for order 1
+    for words in training:
+        padded = ["<start>", *words]
+        for i in range(1, len(padded)):
+            for k in range(s.depth + 1):
+                if i - k >= (0 if k == 1 else 1):
+                    counts[k][tuple(padded[i - k : i + 1])] += 1
+    n, v = sum(counts[0].values()), len(counts[0])
+    once, twice = (sum(c == x for c in counts[0].values()) for x in (1, 2))
+    root = lmscore.Root(n, v, once, twice)
+
+    def base(word):
+        c = counts[0][(word,)]
+        return (c - root.discount if c else root.discount * v or 1) / max(1, n)
+
+    seen = [{(): n}, {("<start>",): len(training)}]
+    for k in range(1, s.depth + 1):
+        here = collections.Counter()
+        for gram, c in counts[k - 1].items():
+            here[gram] += c
+        seen.append({})
+        seen[k] = {**here, **(seen[1] if k == 1 else {})}
+    states, looked = {}, [set(g for g, c in counts[0].items() if c >= s.least)]  # grams that were looked at and often enough
+
+    def p(word, context):
+        """context: the predecessors, nearest last, the start mark included."""
+        out = base(word)
+        for k in range(1, min(s.depth, len(context)) + 1):
+            state = states.get(context[len(context) - k :])
+            if state is None or (k > 1 and not states.get(context[len(context) - k + 1 :])):
+                break  # the tree holds the suffixes of its states
+            stored, remains, total = state
+            out = (stored[word] - s.discount + remains * out) / total if word in stored else remains * out / total
+        return out
+
+    for k in range(1, s.depth + 1):
+        by, kept = collections.defaultdict(dict), set()
+        for gram, c in counts[k].items():
+            context = gram[:-1]
+            if (k == 1 or context in looked[k - 1] and context[1:] in states) and gram[1:] in looked[k - 1] and seen[k].get(context, 0) >= s.least and c >= s.least:
+                by[context][gram[-1]] = c
+                kept.add(gram)
+        for context, stored in by.items():
+            raw, held = seen[k][context], sum(stored.values())
+            remains, total = raw - held + s.discount * len(stored) + 1, raw + 1
+            won = (raw - held) * math.log(remains / total)
+            for word, c in stored.items():
+                below = p(word, context[1:])
+                won += c * math.log((c - s.discount + remains * below) / total / below)
+            if won > s.penalty * len(stored) or raw >= s.sure:
+                states[context] = (stored, remains, total)
+        looked.append(kept)
+    return states, p
+
+
+@pytest.mark.parametrize("changes", [{}, {"sure": 40}, {"least": 4, "depth": 2}, {"block_bytes": 500, "route_entries": 50}])
+def test_tree_against_brute_force(spark, changes):
+    rng = random.Random(18)
+    words = vocabulary(rng, 60)
+    phrases = [rng.choices(words, k=rng.randint(2, 6)) for _ in range(12)]
+    rows = ODD + [(k, " ".join(w for _ in range(rng.randint(1, 12)) for w in (rng.choice(phrases) if rng.random() < 0.6 else [rng.choice(words)]))) for k in range(100, 300)]
+    for k in range(400, 440):  # each of the last four words tells more of the next
+        w = ["p", "q", "p", "p"]
+        for _ in range(300):
+            w.append("p" if rng.random() < 0.05 + 0.9 * sum(x * (w[-j] == "q") for j, x in ((1, 0.25), (2, 0.25), (3, 0.25), (4, 0.25))) else "q")
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, t) for k, t in rows[40:50]]
+    s = lmscore.Settings(**changes)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got, n = lmscore.score_all(docs, F.col("doc_id") % 3 != 1, settings=s)
+    tokens = [(k, [*WORD.findall((t or "").translate(UPPER)), None]) for k, t in rows]
+    training = [t for k, t in tokens if k is not None and k % 3 != 1]
+    states, p = brute_tree(training, s)
+    assert n == sum(map(len, training)) and max(map(len, states)) == s.depth
+    want = sorted((str(k), len(t), sum(math.log10(p(w, ("<start>", *t[:i]))) for i, w in enumerate(t))) for k, t in tokens)
+    have = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got.collect())
+    assert [h[:2] for h in have] == [w[:2] for w in want]
+    for h, w in zip(have, want):
+        assert h[2] == pytest.approx(w[2], abs=1e-5 + 6e-8 * w[1]), w[0]  # values are whole multiples of 2**-24
+
+
+def test_tree_is_a_distribution():
     """Over all known words, the end and one unknown word, a state's probabilities add up to 1."""
     rng = random.Random(1)
-    texts = [(" ".join(w for _ in range(30) for w in rng.choice([["a", "b", "c"], ["d"], ["e", "f"]])),) for _ in range(60)]
-    tree, counts = lmscore.train(spark.createDataFrame(texts, "text string"), lmscore.Settings(symbol_share=1e-9, context_share=1e-9))
-    assert counts.count() == tree.v == 7 and any(level.live.any() for level in tree.levels)
-    for context in ("", "a", "a b", "d", "zz", "e"):
-        total = 0.0
-        for word in [*"abcdef", None, "unknown"]:
-            text = f"{context} {word}" if word else context
-            tokens, at = lmscore.tokens_of([text.encode()])
-            ids = lmscore._find(tree.words, tokens)
-            p = lmscore.token_probabilities(tree, ids, at)
-            where = len(context.split())
-            total += p[where] * (tree.root(np.array([0]))[0] if ids[where] < 0 else 1)
-        assert total == pytest.approx(1, abs=1e-9)
+    texts = [[w for _ in range(30) for w in rng.choice([["a", "b", "c"], ["d"], ["e", "f"]])] + [None] for _ in range(60)]
+    states, p = brute_tree(texts, lmscore.Settings())
+    assert ("a",) in states
+    for context in ((), ("a",), ("a", "b"), ("d",), ("zz",), ("e",)):
+        assert sum(p(w, ("<start>", *context)) for w in [*"abcdef", None, "unknown"]) == pytest.approx(1, abs=1e-9)
 
 
 def test_model_keeps_rare_contexts_at_any_size(spark):
-    """A context seen a few times is a state however long the corpus, and whether its grams lie in the broadcast or in the table."""
+    """A context seen a few times is a state however long the corpus; a text that occurs twice is scored apart from one that does not."""
     rng = random.Random(3)
     words = vocabulary(rng, 300)
     rows = [(k, " ".join(rng.choices(words, k=200))) for k in range(1000)] + [(5000 + k, "rarely quoted phrase") for k in range(6)] + [(6000, "rarely phrase quoted")]
+    rows += [(7000 + k, rows[5][1]) for k in range(1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [{r.doc_id: (r.score, r.base_score) for r in lmscore.score_all(docs, F.lit(True), settings=s)[0].collect()} for s in (lmscore.Settings(), lmscore.Settings(symbol_share=1e-2), lmscore.Settings(symbol_share=1e-9, context_share=1e-9))]
-    assert got[0][5000][0] > got[0][6000][0] + 6 and got[0][5000][0] > got[0][5000][1] + 6
-    for other in got[1:]:
-        assert all(other[k][0] == pytest.approx(got[0][k][0], abs=1e-6) for k in got[0])
+    got = {r.doc_id: (r.score, r.base_score) for r in lmscore.score_all(docs, F.lit(True))[0].collect()}
+    assert got[5000][0] > got[6000][0] + 4 and got[5000][0] > got[5000][1] + 6
+    assert got[5] == got[7000] and got[5][0] > max(got[k][0] for k in range(1000) if k != 5) + 20
 
 
 # ---------------------------------------------------------------- repeated passages

@@ -3,15 +3,14 @@ vectorised hashing of whole batches of texts."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop, table  # noqa: F401  (what the operators write between their steps)
+
 #: A word: a run of bytes other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,43 +36,6 @@ def unit_bits(seed: str, *columns: Column) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-# ---------------------------------------------------------------- shared tables
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: lineage ends there, so a lost
-    executor costs no recomputation, and both branches of a later plan see the same rows."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone already
-            return
-
-
 # ---------------------------------------------------------------- batches of texts
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
