@@ -345,18 +345,16 @@ def brute_tree(training, s):
         """context: the predecessors, nearest last, the start mark included."""
         out = base(word)
         for k in range(1, min(s.depth, len(context)) + 1):
-            state = states.get(context[len(context) - k :])
-            if state is None or (k > 1 and not states.get(context[len(context) - k + 1 :])):
-                break  # the tree holds the suffixes of its states
-            stored, remains, total = state
-            out = (stored[word] - s.discount + remains * out) / total if word in stored else remains * out / total
+            if state := states.get(context[len(context) - k :]):
+                stored, remains, total = state
+                out = (stored[word] - s.discount + remains * out) / total if word in stored else remains * out / total
         return out
 
     for k in range(1, s.depth + 1):
         by, kept = collections.defaultdict(dict), set()
         for gram, c in counts[k].items():
             context = gram[:-1]
-            if (k == 1 or context in looked[k - 1] and context[1:] in states) and gram[1:] in looked[k - 1] and seen[k].get(context, 0) >= s.least and c >= s.least:
+            if (k == 1 or context in looked[k - 1]) and gram[1:] in looked[k - 1] and seen[k].get(context, 0) >= s.least and c >= s.least:
                 by[context][gram[-1]] = c
                 kept.add(gram)
         for context, stored in by.items():
@@ -372,7 +370,7 @@ def brute_tree(training, s):
     return states, p
 
 
-@pytest.mark.parametrize("changes", [{}, {"sure": 40}, {"least": 4, "depth": 2}, {"block_bytes": 500, "route_entries": 50}])
+@pytest.mark.parametrize("changes", [{"depth": 4}, {"sure": 40}, {"least": 4, "depth": 2}, {"block_bytes": 500, "route_entries": 50}])
 def test_tree_against_brute_force(spark, changes):
     rng = random.Random(18)
     words = vocabulary(rng, 60)
@@ -395,7 +393,7 @@ def test_tree_against_brute_force(spark, changes):
     have = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got.collect())
     assert [h[:2] for h in have] == [w[:2] for w in want]
     for h, w in zip(have, want):
-        assert h[2] == pytest.approx(w[2], abs=1e-5 + 6e-8 * w[1]), w[0]  # values are whole multiples of 2**-24
+        assert h[2] == pytest.approx(w[2], abs=1e-5 + 1e-6 * w[1]), w[0]  # values are whole multiples of 2**-20
 
 
 def test_tree_is_a_distribution():
@@ -413,7 +411,7 @@ def test_model_keeps_rare_contexts_at_any_size(spark):
     rng = random.Random(3)
     words = vocabulary(rng, 300)
     rows = [(k, " ".join(rng.choices(words, k=200))) for k in range(1000)] + [(5000 + k, "rarely quoted phrase") for k in range(6)] + [(6000, "rarely phrase quoted")]
-    rows += [(7000 + k, rows[5][1]) for k in range(1)]
+    rows.append((7000, rows[5][1]))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.score, r.base_score) for r in lmscore.score_all(docs, F.lit(True))[0].collect()}
     assert got[5000][0] > got[6000][0] + 4 and got[5000][0] > got[5000][1] + 6
