@@ -440,52 +440,60 @@ def brute_repeats(rows, width=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [1 << 14, 3])
-def test_repeats(spark, folder, hot):
+SMALL = {"text_bytes": 3000, "block_bytes": 2000, "slice_bytes": 300, "route_entries": 200}
+
+
+@pytest.mark.parametrize("changes", [{}, SMALL, {**SMALL, "width": 24, "grain": 9}, {**SMALL, "width": 33, "grain": 20}, {**SMALL, "width": 52}])
+def test_repeats(spark, folder, changes):
     rng = random.Random(7)
     words, rows = vocabulary(rng), []
     passages = [" ".join(rng.choices(words, k=k)) for k in (8, 12, 30, 60)] + ["ab" * 80, "z" * 120]
     for k in range(120):
         parts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(3)]
         parts.insert(rng.randint(0, 3), rng.choice(passages)[rng.randint(0, 30) :] if rng.random() < 0.7 else "")
-        rows.append((rng.randint(0, 90), " ".join(parts)))
+        rows.append((rng.randint(-9, 90), " ".join(parts)))
     rows += rows[:6] + [(500, rows[0][1]), (None, rows[1][1])] + ODD + [(600, "q" * 49), (601, "q" * 49), (602, "q" * 50), (603, "q" * 50), (604, "q" * 51)]
+    rows += [(None, passages[3] + str(k)) for k in range(30)] + [(700, passages[2] + str(k)) for k in range(30)]  # one id, many texts
     rng.shuffle(rows)
-    got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), settings=suffixes.Settings(hot=hot)).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
-    assert QUERIES["op9_suffix_array"](spark, folder([])).count() == 0
+    s = suffixes.Settings(**changes)
+    got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), settings=s).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, s.width)
+    if not changes:
+        assert QUERIES["op9_suffix_array"](spark, folder([])).count() == 0
+        assert [r.n_removed for r in QUERIES["op9_suffix_array"](spark, folder([(1, "a" * 200), (2, None), (3, "b" * 200)])).collect()] == [0, 0, 0]
 
 
-def test_hot_anchors_of_one_block(spark):
-    """Anchors with more than 255 pieces in one packed block are hot, and count each piece of a text."""
+def test_one_line_in_very_many_texts(spark):
+    """A passage that all texts share is one entry for each block, whatever the number of texts."""
     rng = random.Random(12)
     words = vocabulary(rng)
     passage = " ".join(rng.choices(words, k=30))
-    rows = [(k, rng.choice(words) + " " + passage + " " + rng.choice(words)) for k in range(400)]
-    few = [(k, (passage + " ") * 150 + rng.choice(words)) for k in range(3)]
-    for docs in (rows, few):
-        df = spark.createDataFrame([(k, k, t) for k, t in docs], "key long, ord long, text string").coalesce(1)
-        assert suffixes.shared_anchors([df], [None], suffixes.Settings(hot=300))[1].any()
-        assert not suffixes.shared_anchors([df], [None], suffixes.Settings(hot=1000))[1].any()
-        got = suffixes.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), settings=suffixes.Settings(hot=300)).collect()
-        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(docs)
-
-
-@pytest.mark.parametrize("top", [1 << 22, 1 << 40])
-def test_suffix_ranks_of_large_values(top):
-    rng = random.Random(2)
-    text = [rng.choice([1, 2, top - 1, top, rng.randint(1, top)]) for _ in range(400)]
-    order = sorted(range(400), key=lambda i: text[i:])
-    assert suffixes.suffix_ranks(np.array(text, np.int64))[order].tolist() == list(range(1, 401))
+    rows = [(k, f"{rng.choice(words)} {k} {passage} {rng.choice(words)}") for k in range(40_000)]
+    got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = rows[r.doc_id][1]
+        assert r.n_removed >= len(f" {passage} ".encode()) and r.n_spans == 1 if r.doc_id else r.n_removed == 0
+        assert r.n_bytes == len(own.encode())
 
 
-def test_suffix_ranks():
-    rng = random.Random(1)
-    for n in [*range(12), 33, 100, 301]:
-        for letters in (1, 2, 5, 300):
-            text = np.array([rng.randint(1, letters) for _ in range(n)], np.int64)
-            order = sorted(range(n), key=lambda i: list(text[i:]))
-            assert suffixes.suffix_ranks(text)[order].tolist() == list(range(1, n + 1))
+def test_places_of_one_text_and_of_long_texts(spark):
+    """Strings that repeat within one text alone stay; texts longer than a slice lose whole passages."""
+    rng = random.Random(13)
+    words = vocabulary(rng, 3000)
+    long = " ".join(rng.choices(words, k=60_000))
+    rows = [(1, "again and again " * 300), (2, long), (3, "x" + long[100_000:300_000] + "y"), (4, long[:50_000] + "!" * 100)]
+    got = {r.doc_id: r for r in suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[2].n_removed) == (0, 0)
+    assert (got[3].n_removed, got[3].n_spans) == (len(long[100_000:300_000].encode()), 1) and (got[4].n_removed, got[4].n_spans) == (len(long[:50_000].encode()), 1)
+
+
+def test_ranks():
+    rng = random.Random(2)
+    rows = [tuple(rng.choice([0, 1, 2**40, 2**64 - 1]) for _ in range(3)) for _ in range(500)]
+    got = suffixes.ranks(*(np.array([r[k] for r in rows], np.uint64) for k in range(3)))
+    number = {r: k for k, r in enumerate(sorted(set(rows)))}
+    assert got.tolist() == [number[r] for r in rows]
 
 
 def test_kept_text(spark):

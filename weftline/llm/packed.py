@@ -56,7 +56,7 @@ def unsigned(a: np.ndarray) -> np.ndarray:
 def steps(keys: np.ndarray) -> np.ndarray:
     """Differences of sorted unsigned keys, the first being the first key."""
     out = keys.astype(np.uint64)
-    out[1:] -= keys[:-1]
+    out[1:] -= out[:-1].copy()
     return out
 
 
