@@ -37,7 +37,7 @@ STATISTICS = ("upper", "digit", "mark", "symbol", "other_bytes", "space", "word_
 class Settings:
     word_bins: int = 1 << 16
     factors: int = 8
-    epochs: int = 8
+    steps: int = 600
     rate: float = 0.02
     decay: float = 1e-5
     batch: int = 256
@@ -150,27 +150,31 @@ class Model:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings: Settings, n_metadata: int = 0) -> Model:
-    """Logistic loss by Adam over shuffled batches; the same rows in the same order give the same model."""
+    """Logistic loss by `steps` Adam steps over shuffled batches, however few or many the rows; both labels weigh
+    alike, so that 0.5 lies between them where one is rare. The same rows in the same order give the same model."""
     size = settings.word_bins + len(STATISTICS) * BANDS + 256 * n_metadata
     rng = np.random.default_rng(settings.seed)
     model = Model(settings, 0.0, np.zeros(size, np.float32), rng.normal(0, 0.02, (size, settings.factors)).astype(np.float32))
     if not len(rows):
         model.factors[:] = 0
         return model
-    share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    model.bias = float(np.log(share / (1 - share)))
-    first = {k: np.zeros_like(v) for k, v in (("w", model.linear), ("v", model.factors))}
-    second, step = {k: np.zeros_like(v) for k, v in first.items()}, 0
-    for _ in range(settings.epochs):
+    share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
+    weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)  # both labels weigh alike
+    first = {k: np.zeros_like(v) for k, v in (("b", np.zeros(1, np.float32)), ("w", model.linear), ("v", model.factors))}
+    second, bias, step = {k: np.zeros_like(v) for k, v in first.items()}, np.zeros(1, np.float32), 0
+    whole = np.zeros(1, np.int64)
+    while step < settings.steps:
         order = rng.permutation(len(rows))
         for at in range(0, len(order), settings.batch):
             pick, step = order[at : at + settings.batch], step + 1
+            if step > settings.steps:
+                break
             offsets = np.concatenate([[0], np.cumsum([len(rows[i][0]) for i in pick])])
             index = np.concatenate([rows[i][0] for i in pick])
             value = np.concatenate([rows[i][1] for i in pick])
             linear, vx, v2 = model.sums(offsets, index, value)
-            p = 1 / (1 + np.exp(-np.clip(model.bias + linear + 0.5 * (vx**2 - v2).sum(1), -30, 30)))
-            error = ((p - labels[pick]) / len(pick)).astype(np.float32)
+            p = 1 / (1 + np.exp(-np.clip(bias[0] + linear + 0.5 * (vx**2 - v2).sum(1), -30, 30)))
+            error = ((p - labels[pick]) * weight[pick] / len(pick)).astype(np.float32)
             per = np.repeat(np.arange(len(pick)), np.diff(offsets))
             e = error[per] * value
             touched, inverse = np.unique(index, return_inverse=True)
@@ -178,12 +182,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings:
             own = model.factors[index]
             g = e[:, None] * (vx[per] - own * value[:, None])
             gv = np.stack([np.bincount(inverse, g[:, f], len(touched)) for f in range(settings.factors)], 1)
-            model.bias -= settings.rate * float(error.sum())
-            for name, target, grad in (("w", model.linear, gw), ("v", model.factors, gv)):
-                grad = (grad + settings.decay * target[touched]).astype(np.float32)
-                m = first[name][touched] = 0.9 * first[name][touched] + 0.1 * grad
-                s = second[name][touched] = 0.99 * second[name][touched] + 0.01 * grad**2
-                target[touched] -= settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
+            for name, target, grad, at_ in (("b", bias, error.sum(keepdims=True), whole), ("w", model.linear, gw, touched), ("v", model.factors, gv, touched)):
+                grad = (grad + settings.decay * target[at_]).astype(np.float32)
+                m = first[name][at_] = 0.9 * first[name][at_] + 0.1 * grad
+                s = second[name][at_] = 0.99 * second[name][at_] + 0.01 * grad**2
+                target[at_] -= settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
+    model.bias = float(bias[0])
     return model
 
 
