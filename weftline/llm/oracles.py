@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 OP1 = r"""
-WITH s AS (
+WITH RECURSIVE s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          coalesce(doc_id::VARCHAR, '') AS k,
          ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS u
@@ -19,12 +19,16 @@ g AS (SELECT max(level) AS level FROM l),
 p AS (SELECT source, source_size, round(least(cap, coalesce(g.level, 'infinity'::DOUBLE) * weight), 6) AS target FROM w, g),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM p),
 m AS (
-  SELECT s.*, e.source_size, e.target, e.whole,
-         sum(size) OVER (PARTITION BY s.source ORDER BY u, k) - size / 2.0 AS middle
-  FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target,
-       size * (whole + CASE WHEN middle < target - whole * source_size THEN 1 ELSE 0 END) AS taken
-FROM m
+  SELECT s.*, e.source_size, e.target, e.whole, row_number() OVER (PARTITION BY s.source ORDER BY u, k) AS rn
+  FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source),
+r AS (
+  SELECT m.*, CASE WHEN size <= target - whole * source_size THEN 1 ELSE 0 END AS more, target - whole * source_size AS gap
+  FROM m WHERE rn = 1
+  UNION ALL
+  SELECT m.*, CASE WHEN m.size <= r.gap - r.more * r.size THEN 1 ELSE 0 END, r.gap - r.more * r.size
+  FROM r JOIN m ON m.source IS NOT DISTINCT FROM r.source AND m.rn = r.rn + 1)
+SELECT doc_id, size, source_size, target, size * (whole + more) AS taken
+FROM r
 """
 
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1}

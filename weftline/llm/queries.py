@@ -19,7 +19,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     sized = table(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     plan = mixing.mixture_plan(sized, mixing.cyclic_weights(sized))
-    mixed = mixing.with_repetitions(sized, plan, id_col="id", source_col="source")
+    mixed = mixing.with_repetitions(sized, plan, id_col="id", source_col="source", size=F.col("size"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("repetitions")).alias("taken"))
 
 
