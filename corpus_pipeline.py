@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs. All but the last keep the columns of documents as they are; columns
-beyond those pass through, whatever their names. The pipeline cannot be put in SQL: the classifier,
-the embeddings and the sampling are not expressible."""
+beyond those pass through, whatever their names (but see `sharded`). Any column may be null. An empty table
+gives an empty table in every stage; texts are read whole, whatever their length. The pipeline cannot be
+put in SQL: the classifier, the embeddings and the sampling are not expressible."""
 
 from __future__ import annotations
 
@@ -15,39 +16,61 @@ from weftline.llm.common import table, word_count
 from weftline.llm.queries import QUALITY_CUT, quality_model, read
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame, number: str) -> DataFrame:
+    """docs with a number for each row, written, so that every reader sees the same numbers."""
+    return table(docs.withColumn(number, F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that the classifier rejects go."""
+    """Operator 4: documents that the classifier rejects go. Null and empty texts are scored like any other; equal
+    texts have equal scores, so repeated rows stay or go together. Without usable labels all stay."""
     return quality.accepted(docs, quality_model(docs, spark, sf_dir), QUALITY_CUT)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of documents linked by shared 5-word shingles, the one with the smallest id stays.
-    Documents without an id cannot be named and stay; rows that share an id stay or go together."""
-    grouped = ngramjoin.linked_components(docs)
+    """Operator 6: of documents linked by shared 5-word shingles, the first row stays, whatever the ids: they may be
+    null or repeat. So one of equal rows stays. Null, empty and blank texts are linked with nothing and stay."""
+    number = _free(docs, "__number")
+    rows = _numbered(docs, number)
+    grouped = ngramjoin.linked_components(rows, id_col=number)
     gone = table(grouped.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "pipeline-gone")
-    return ngramjoin.without_ids(docs, gone)
+    return ngramjoin.without_ids(rows, gone, id_col=number).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents that hold a passage of the benchmark go."""
+    """Operator 3: documents that hold a passage of the benchmark go. Null and empty texts hold none and stay;
+    equal rows stay or go together; null items and items without words are no passages."""
     return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: every source at its target, by whole and seeded extra repetitions of documents."""
+    """Operator 1: every source at its target, by whole and seeded extra repetitions of documents. A null source is
+    a source. Rows of one id and size are taken together. Texts without words weigh nothing; they are repeated
+    as their source is."""
     sized = table(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     plan = mixing.mixture_plan(sized, mixing.cyclic_weights(sized))
-    drawn = mixing.with_repetitions(docs, plan, id_col="doc_id", source_col="source", prefix="__mix_")
-    copies = drawn.where(F.col("__mix_repetitions") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_repetitions"))))
-    return copies.select(*docs.columns)
+    prefix = _free(docs, "__mix_")
+    drawn = mixing.with_repetitions(docs, plan, id_col="doc_id", source_col="source", size=word_count(F.col("text")), prefix=prefix)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{prefix}repetitions")))
+    return drawn.where(F.col(f"{prefix}repetitions") > 0).select(*docs.columns, copies.alias(_free(docs, "__copy"))).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: 16 contiguous shards of equal bytes; adds shard and slot."""
-    numbered = table(docs.withColumn("__number", F.monotonically_increasing_id()), "pipeline-rows")
-    sized = numbered.select("__number", "doc_id", sharding.byte_size(F.col("text")).alias("size"))
-    placed = sharding.contiguous_shards(sized, order=["doc_id", "__number"]).select("__number", "shard", "slot")
-    return numbered.join(placed.hint("merge"), "__number").drop("__number")  # one row each: never a broadcast
+    """Operator 2: 16 contiguous shards of equal bytes, in order of the ids, null first; adds shard and slot.
+    Columns of docs that have these names give way. Equal rows take places next to each other."""
+    kept = docs.drop("shard", "slot")
+    number = _free(kept, "__number")
+    rows = _numbered(kept, number)
+    sized = rows.select(F.col(number).alias("number"), "doc_id", sharding.byte_size(F.col("text")).alias("size"))
+    placed = sharding.contiguous_shards(sized, order=["doc_id", "number"]).select(F.col("number").alias(number), "shard", "slot")
+    return rows.join(placed.hint("merge"), number).select(*kept.columns, "shard", "slot")  # one row each: never a broadcast
 
 
 STAGES = [
