@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 import zlib
 
@@ -158,6 +159,46 @@ def test_ownership(spark):
     assert (got[0].n_owners, got[0].n_repositories, got[0].verdict) == (3, 3, "copied") and (got[9].n_owners, got[9].verdict) == (1, "live")
 
 
+def test_many_repositories_of_one_owner(spark):
+    """A value in many repositories is a copied example, though one owner holds them all; in a few it looks live."""
+    few, many = "A1b2C3d4E5f6G7h8I9j0K1", "Zy9Xw8Vu7Ts6Rq5Po4Nm3L"
+    docs = spark.createDataFrame([(k, f"x {many} y" + (f" {few}" if k < 5 else ""), "one") for k in range(500)], "doc_id long, text string, source string")
+    got = {r.doc_id: [(s.start, s.n_owners, s.n_repositories, s.verdict) for s in r.spans] for r in secrets.scan(docs).collect()}
+    assert got[0] == [(2 + len(many) + 3, 1, 5, "live")] and got[7] == []
+    assert all(len(r.spans) == 1 + (r.doc_id < 5) for r in secrets.scan(docs, max_repositories=500).collect())
+
+
+def brute_spans(rows):
+    """spans of op10 for rows (id, text, source), by testing every pair of spans and counting with sets."""
+    own, found = re.compile("[A-Za-z0-9+/_-]+"), []
+    for _, text, _ in rows:
+        base = base_spans(text or "")
+        mixed = [m for m in own.finditer(text or "") if len(m[0]) >= 20 and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])]
+        found.append((base, [m for m in mixed if not any(b[0] < m.end() and m.start() < b[2] for b in base)]))
+    owners, places = {}, {}
+    for (k, _, source), (_, mixed) in zip(rows, found):
+        for m in mixed:
+            owners.setdefault(m[0], set()).add(source)
+            places.setdefault(m[0], set()).add(k)
+    out = []
+    for (k, _, _), (base, mixed) in zip(rows, found):
+        live = [(m.start(), 3, m.end(), "own") for m in mixed if len(owners[m[0]]) <= 1 and len(places[m[0]]) <= 5]
+        out.append((k, ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(base + live))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("often", [10_000, 3])
+def test_own_spans_against_brute_force(spark, folder, monkeypatch, often):
+    monkeypatch.setattr(secrets, "OFTEN", often)
+    rng = random.Random(21)
+    tokens = ["".join(rng.choice("abcXYZ0189+/_-") for _ in range(rng.randint(12, 40))) for _ in range(60)]
+    parts = [*tokens, *TRICKY[:-1], "plain", "words", "deadbeef" * 5, "token=" + tokens[0], "é𝄞"]
+    rows = [(k, rng.choice([" ", "\n", "", "="]).join(rng.choices(parts, k=rng.randint(0, 25))), f"s{rng.randint(0, 30)}") for k in range(200)]
+    rows.append((900, " ".join(f"password=abcdefg{k} aB3{k:020d}" for k in range(3000)), "s0"))  # a text full of spans
+    got = QUERIES["op10_secrets"](spark, folder(rows)).collect()
+    assert sorted(((r.doc_id, r.spans) for r in got), key=str) == brute_spans(rows)
+
+
 def test_word_count(spark):
     df = spark.createDataFrame([("a\x0bb c  d\x85",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(word_count(F.col("t"))).collect()] == [3, 0, 0]

@@ -2,17 +2,21 @@
 
 Three base kinds are found by pattern: `assign` (a name such as password or api_key, a sign, a value),
 `access` (access key ids) and `hex` (long hexadecimal runs). The method adds a fourth, `own`: long
-mixed tokens that no base span covers and that look live, because their hash is seen with at most
-`max_owners` owners in the whole corpus.
+mixed tokens that no base span overlaps and that look live.
 
-Every candidate value is hashed. Counts of distinct repositories and owners of a hash come from two
-merging steps (hash, owner, repository -> hash, owner -> hash), so a value that a third of all rows
-hold is summed on the map side and never meets itself in one task. Values that many owners hold are
-copied examples (`copied`); the others are owner-specific (`live`).
+Every candidate value is hashed, and its distinct repositories and owners in the whole corpus are counted.
+A value with more than `max_owners` owners (1), or in more than `max_repositories` repositories (5) of
+however few owners, is a widely copied example (`copied`); the others are owner-specific and look live
+(`live`). The counts come from two merging steps (hash, owner, repository -> hash, owner -> hash), so a
+value that a third of all rows hold is summed on the map side and never meets itself in one task. Values
+used very often (10,000 times, or a 65,536th of all uses if that is more, so 65,536 values at most) get
+their verdict by broadcast, the others by a join.
 
 Positions are code points. A regular expression engine that gives all matches and all texts between
 them gives every start as a running sum of their lengths; that is what spans() does, only for rows
-that hold a match at all.
+that hold a match at all, in runs of about the root of their number, so that a text full of secrets costs
+no square of them. Whether an `own` candidate overlaps a base span is told by the largest end before
+it and the least start behind it, among the spans of its text.
 
 Defined results: null counts as the empty text; texts without spans give 0, 0, 0, the hash of the
 empty string and an empty list; null owners and repositories count as one value each; equal rows give
@@ -21,7 +25,7 @@ equal rows; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -52,9 +56,13 @@ def spans(text: Column, pattern: str, value_group: int, least: int) -> Column:
     values = matches if value_group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     between = F.split(text, pattern, -1)
     zipped = F.arrays_zip(matches.alias("m"), values.alias("v"), F.slice(between, 1, F.size(matches)).alias("b"))
-    walked = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("found")),
+    number = F.size(zipped)
+    width = F.ceil(F.sqrt(number)).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(number / width).cast("int") - 1), lambda i: F.slice(zipped, i * width + 1, width))
+    found = "array<struct<start:int,end:int,value:string>>"
+    within = F.transform(runs, lambda run: F.aggregate(
+        run,
+        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {found})").alias("found")),
         lambda acc, z: F.struct(
             (acc["at"] + F.length(z["b"]) + F.length(z["m"])).alias("at"),
             F.when(
@@ -62,8 +70,13 @@ def spans(text: Column, pattern: str, value_group: int, least: int) -> Column:
                 F.concat(acc["found"], F.array(F.struct((acc["at"] + F.length(z["b"])).alias("start"), (acc["at"] + F.length(z["b"]) + F.length(z["m"])).alias("end"), z["v"].alias("value")))),
             ).otherwise(acc["found"]).alias("found"),
         ),
-    )
-    return walked["found"]
+    ))  # fmt: skip  places from the start of each run
+    begins = F.aggregate(
+        within, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("begins")),
+        lambda acc, run: F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins")),
+    )["begins"]
+    moved = F.zip_with(within, begins, lambda run, begin: F.transform(run["found"], lambda s: F.struct((s["start"] + begin).alias("start"), (s["end"] + begin).alias("end"), s["value"].alias("value"))))
+    return F.when(number > 0, F.flatten(moved)).otherwise(F.expr(f"cast(array() as {found})"))
 
 
 def _of_kind(kind: str):
@@ -83,47 +96,56 @@ def _candidates(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """`docs` without the text, with `found`: the base spans and the `own` candidates that overlap none of them."""
+    """`docs` without the text, with `found`: the base spans and all `own` candidates, values as two hashes."""
     keep = [c for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     may = F.lit(False)
     for pattern in _MAY.values():
         may = may | text.rlike(pattern)
     found = F.when(may, _candidates(text)).otherwise(F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)"))
-    base = F.filter("found", lambda s: s["kind"] != "own")
-    free = F.filter("found", lambda s: (s["kind"] != "own") | ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    hashed = F.transform(free, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("h1"), F.crc32(s["value"].cast("binary")).alias("h2")))
-    return docs.select(*keep, found.alias("found")).withColumn("base", base).select(*keep, hashed.alias("found"))
+    hashed = F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("h1"), F.crc32(s["value"].cast("binary")).alias("h2")))
+    return docs.select(*keep, hashed.alias("found"))
 
 
-def ownership(found: DataFrame, *, owner_col: str, repository_col: str) -> DataFrame:
-    """h1, h2, n_owners, n_repositories, n_uses for every candidate hash."""
-    rows = found.select(F.col(owner_col).alias("owner"), F.col(repository_col).alias("repository"), F.explode("found").alias("s"))
-    per_repository = rows.groupBy(F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"), "owner", "repository").agg(F.count(F.lit(1)).alias("uses"))
+def _free(spread: DataFrame) -> DataFrame:
+    """Rows (__row, kind, start, end, ...) without the own candidates that overlap a base span of their text."""
+    ordered, base = Window.partitionBy("__row").orderBy("start", "end", "kind"), F.col("kind") != "own"
+    before = F.max(F.when(base, F.col("end"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.min(F.when(base, F.col("start"))).over(ordered.rowsBetween(1, Window.unboundedFollowing))
+    met = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(behind < F.col("end"), F.lit(False))
+    return spread.withColumn("__met", met).where(base | ~F.col("__met")).drop("__met")
+
+
+def ownership(spread: DataFrame) -> DataFrame:
+    """h1, h2, n_owners, n_repositories, n_uses for every candidate hash of rows (h1, h2, owner, repository)."""
+    per_repository = spread.groupBy("h1", "h2", "owner", "repository").agg(F.count(F.lit(1)).alias("uses"))
     per_owner = per_repository.groupBy("h1", "h2", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("uses").alias("uses"))
     return per_owner.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("uses").alias("n_uses"))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", repository_col: str | None = None, text_col: str = "text", max_owners: int = 1) -> DataFrame:
+OFTEN = 10_000
+SPANS = "array<struct<kind:string,start:int,end:int,n_owners:bigint,n_repositories:bigint,verdict:string>>"
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", repository_col: str | None = None, text_col: str = "text", max_owners: int = 1, max_repositories: int = 5) -> DataFrame:
     """One row per row of docs: id, `spans` (array of kind, start, end, n_owners, n_repositories, verdict).
 
-    Base spans are all there; `own` spans only where at most `max_owners` owners hold the value.
-    The repository of a row is its id if no column is named. Only candidates are shuffled, not texts."""
-    repository_col = repository_col or id_col
-    columns = dict.fromkeys([id_col, owner_col, repository_col])
-    found = table(
-        candidates(docs.select(*columns, text_col), text_col=text_col).withColumn("__row", F.monotonically_increasing_id()), "secret-candidates"
-    )
-    stats = ownership(found, owner_col=owner_col, repository_col=repository_col)
-    spread = found.where(F.size("found") > 0).select("__row", F.explode("found").alias("s")).select("__row", "s.*")
+    Base spans are all there; `own` spans only where the value looks live. The repository of a row is its id
+    if no column is named. Only candidates are shuffled, not texts."""
+    slim = docs.select(F.col(id_col).alias("id"), F.col(owner_col).alias("owner"), F.col(repository_col or id_col).alias("repository"), F.col(text_col).alias("text"))
+    found = table(candidates(slim).withColumn("__row", F.monotonically_increasing_id()), "secret-candidates")
+    spread = table(_free(found.where(F.size("found") > 0).select("__row", "owner", "repository", F.explode("found").alias("s")).select("__row", "owner", "repository", "s.*")), "secret-spans")
+    stats = table(ownership(spread), "secret-owners")
+    uses = stats.agg(F.coalesce(F.sum("n_uses"), F.lit(0))).first()[0]
+    often = F.col("n_uses") >= max(OFTEN, -(-uses // 65_536))
+    hot = F.broadcast(stats.where(often))  # at most 65,536
+    named = spread.join(hot, ["h1", "h2"]).unionByName(spread.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(stats.where(~often), ["h1", "h2"]))
     judged = (
-        spread.join(stats, ["h1", "h2"])
-        .withColumn("verdict", F.when(F.col("n_owners") <= max_owners, "live").otherwise("copied"))
+        named.withColumn("verdict", F.when((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories), "live").otherwise("copied"))
         .where((F.col("kind") != "own") | (F.col("verdict") == "live"))
         .groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "end", "n_owners", "n_repositories", "verdict")).alias("spans"))
     )  # fmt: skip  the spans of one text
-    empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,n_owners:bigint,n_repositories:bigint,verdict:string>>)")
-    return found.drop("found").join(judged, "__row", "left").select(id_col, F.coalesce("spans", empty).alias("spans"))
+    return found.select("__row", "id").join(judged, "__row", "left").select(F.col("id").alias(id_col), F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
