@@ -204,7 +204,7 @@ def test_edit_distance():
 def test_leaks(spark, folder):
     rng = random.Random(4)
     words = vocabulary(rng, 3000)
-    items = [(k, " ".join(rng.choices(words, k=n))) for k, n in enumerate([5, 7, 11, 15, 20, 30, 47, 60])] + [(90, None), (91, "too short")]
+    items = [(k, " ".join(rng.choices(words, k=n))) for k, n in enumerate([5, 7, 11, 15, 20, 30, 47, 60])] + [(90, None), (91, "two words"), (92, "?!")]
     rows, planted = list(ODD), set()
     for k, text in items[:8]:
         for copy in range(6):
@@ -228,6 +228,46 @@ def test_leaks(spark, folder):
     assert QUERIES["op3_decontaminate"](spark, folder([], items=items)).count() == 0 == QUERIES["op3_decontaminate"](spark, folder(rows)).count()
 
 
+def brute_leaks(rows, items, share=0.2):
+    """All pairs (id, item, edits), by the edit distance of every item to every text."""
+    import string
+
+    clean = lambda t: WORD.findall((t or "").translate(UPPER).translate({ord(c): None for c in string.punctuation}))
+    out = set()
+    for doc, text in rows:
+        words = clean(text)
+        for item, passage in items:
+            p = clean(passage)
+            if p and words:
+                row = [0] * (len(words) + 1)
+                for i, x in enumerate(p):
+                    new = [i + 1]
+                    for j, y in enumerate(words):
+                        new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+                    row = new
+                if min(row) <= int(share * len(p)):
+                    out.add((doc, item, min(row)))
+    return out
+
+
+def test_leaks_against_brute_force(spark, folder):
+    """Every pair found is a pair by brute force, exact ones are all found and nine of ten of the others."""
+    rng = random.Random(24)
+    words = vocabulary(rng, 400)
+    items = [(k, " ".join(rng.choices(words, k=n))) for k, n in enumerate([1, 2, 3, 4, 4, 5, 6, 9, 12, 16, 25, 33, 40])] + [(50, None), (51, " . ")]
+    rows = list(ODD)
+    for k, text in items[:13] * 6:
+        w = text.split()
+        for _ in range(rng.choice([0, 0, 1, len(w) // 5])):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[], [rng.choice(words)], [w[i], rng.choice(words)]])
+        rows.append((1000 + len(rows), " ".join(rng.choices(words, k=rng.choice([0, 2, 30]))) + " " + " ".join(w).upper() + ", " + " ".join(rng.choices(words, k=rng.choice([0, 20])))))
+    want = brute_leaks(rows, items)
+    got = {(r.doc_id, r.item_id, r.edits) for r in QUERIES["op3_decontaminate"](spark, folder(rows, items=items)).collect()}
+    assert {g[:2] for g in got} <= {w[:2] for w in want} and {w for w in want if w[2] == 0} <= got
+    assert len(got) >= 0.9 * len(want) and any(w[1] < 5 for w in want)
+
+
 @pytest.mark.parametrize("cut_off", [2, 4, 5])
 def test_leak_cut_at_both_ends(cut_off):
     """An item without its first and last words is a leak wherever the document stands in its block."""

@@ -13,12 +13,13 @@ with the bit-parallel edit distance between the whole item and the text around:
 a fifth of the item's words differ.
 
 Items are the stated query set; they go to the tasks in blocks of at most `block_words` words, with a
-pass over the documents for each block. Items with fewer than `least_words` words (5) name no passage
-and are left out. Texts are never moved, and a document is judged whole, wherever it lies.
+pass over the documents for each block. Items with fewer than `least_words` words (5) have no room for a
+differing word: they are found exactly, by hashes of as many words in a row. Texts are never moved, and a
+document is judged whole, wherever it lies.
 
 Defined results: null counts as the empty text, which has no leak; null and repeated ids are kept as
-they are; equal rows give equal rows; a null item counts as empty; no items or no documents give an
-empty result. Other columns play no part.
+they are; equal rows give equal rows; a null item counts as empty; items without words are found nowhere; no items or
+no documents give an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -105,6 +106,14 @@ def _pair(words: np.ndarray, item: np.ndarray) -> np.ndarray:
     return ((words + item.astype(np.uint64) * odd) * odd >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
+def _joined(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n words in a row."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for j in range(n):
+        out = mix(out + words[j : j + len(out)], j + 1)
+    return out
+
+
 class Items:
     """A block of items, hashed for search."""
 
@@ -113,7 +122,7 @@ class Items:
         words, at = words_of(texts, DROP)
         self.ids, self.words = [], []
         for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
-            if b - a >= s.least_words:
+            if b > a:
                 self.ids.append(ids[k])
                 self.words.append(words[a:b])
         self.size = [len(w) for w in self.words]
@@ -125,7 +134,11 @@ class Items:
             self.bits.append(places)
         groups: dict[tuple[int, int], list] = {}
         begin = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
+        self.short: dict[int, dict[int, list[int]]] = {}  # by number of words: hash to items
         for k, n in enumerate(self.size):
+            if n < s.least_words:
+                self.short.setdefault(n, {}).setdefault(int(_joined(self.words[k], n)[0]), []).append(k)
+                continue
             steps, stride = steps_for(n, s)
             groups.setdefault((steps, stride), []).extend((k, o) for o in range(n - steps + 1))
         joined = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
@@ -178,11 +191,24 @@ class Items:
             out[part] = np.add.reduceat(known, edge[:-1], dtype=np.int64) >= least[part]
         return out
 
+    def _short_hits(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+        out = set()
+        for n, items in self.short.items():
+            joined = _joined(words, n)
+            for i in np.flatnonzero(np.isin(joined, np.array(list(items), np.uint64))).tolist():
+                text = int(np.searchsorted(at, i, "right")) - 1
+                if i + n <= at[text + 1]:
+                    out |= {(text, k, 0) for k in items[int(joined[i])] if np.array_equal(words[i : i + n], self.words[k])}
+        return list(out)
+
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
         """(text number, item number, edits) of all leaks, one for each pair."""
         words, at = words_of(texts, DROP)
         if not len(words) or not self.words:
             return []
+        exact_ = self._short_hits(words, at)
+        if not self.tables:
+            return sorted(exact_)
         hits = np.concatenate([np.stack(c) for c in self.candidates(words, at)], 1)
         # the item may hang over either end of the text, or both
         item, begin, doc = np.unique(hits, axis=1) if hits.size else hits
@@ -198,7 +224,7 @@ class Items:
             found = 0 if exact else edits(self.bits[k], n, words[low[c] : high[c]].tolist())
             if found <= slack[c]:
                 best[d, k] = min(best.get((d, k), n), found)
-        return sorted((d, k, n) for (d, k), n in best.items())
+        return sorted([*exact_, *((d, k, n) for (d, k), n in best.items())])
 
 
 def item_blocks(items: DataFrame, s: Settings) -> Iterator[tuple[list, list[bytes]]]:
