@@ -1,19 +1,24 @@
 """Text index and search.
 
-Documents are rows; postings (link_id, field, term, pos) are the inverted index. A match query reads
-the postings of its terms only; a phrase query checks term order on the documents that hold all terms.
-Ranking is by PageRank first or by a sum with BM25; ties go by id, so pages never overlap."""
+Documents are rows; the inverted index (`Index`) is a written table of postings, one row for each term of a
+document with its places by field, in ranges of the term. Texts are cut into tokens once, when the index is
+built; a query reads the postings of its terms only, by the statistics of the files, and documents are
+looked up by key for the hits alone. A phrase is told by the places of its terms. Ranking is by PageRank first
+or by a sum with BM25; ties go by id, so pages never overlap."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MissingLinkId, NotFound
 from ..functions import html, text
 from ..schemas import instant, never
+from ..sources.scratch import table
 
 K1, B = 1.2, 0.75
 PAGE = 10
@@ -61,70 +66,139 @@ def postings(docs: DataFrame) -> DataFrame:
     return both.select("link_id", F.col("f.field").alias("field"), F.posexplode(text.tokens(F.col("f.text"))).alias("pos", "term")).select("link_id", "field", "term", "pos")
 
 
-def _all_tokens() -> Column:
-    return F.concat(text.tokens(F.coalesce("title", F.lit(""))), text.tokens(F.coalesce("content", F.lit(""))))
+def index_subset(docs: DataFrame) -> DataFrame:
+    """What an index keeps of a document: title, content and PageRank, by id."""
+    return docs.select("link_id", "title", "content", "pagerank")
 
 
-def match(docs: DataFrame, expression: str, *, stop_words: bool = True) -> DataFrame:
-    """Documents with any term of the expression in title or content."""
-    terms = text.analysed(expression, stop_words)
-    if not terms:
-        return docs.where(F.lit(False))
-    return docs.where(F.arrays_overlap(_all_tokens(), F.array(*map(F.lit, terms))))
+def external(docs: DataFrame) -> DataFrame:
+    """Documents as another system takes them: ids and times as text, times in UTC."""
+    stamp = F.date_format("indexed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return docs.select(F.col("link_id").alias("LinkID"), F.col("url").alias("URL"), F.col("title").alias("Title"), F.col("content").alias("Content"), stamp.alias("IndexedAt"), F.col("pagerank").alias("PageRank"))
 
 
-def phrase(docs: DataFrame, expression: str) -> DataFrame:
-    """Documents with the terms next to each other, in order, within one field."""
-    terms = text.analysed(expression)
-    if not terms:
-        return docs.where(F.lit(False))
-    wanted = " " + " ".join(terms) + " "
-    padded = lambda c: F.concat(F.lit(" "), F.array_join(text.tokens(F.coalesce(c, F.lit(""))), " "), F.lit(" "))
-    return docs.where(padded("title").contains(wanted) | padded("content").contains(wanted))
+def from_external(rows: DataFrame) -> DataFrame:
+    """Documents from what external() gives."""
+    stamp = F.to_timestamp_ntz("IndexedAt", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    return rows.select(F.lower("LinkID").alias("link_id"), F.col("URL").alias("url"), F.col("Title").alias("title"), F.col("Content").alias("content"), stamp.alias("indexed_at"), F.col("PageRank").alias("pagerank"))
 
 
-def hits(docs: DataFrame, query_type: str, expression: str, *, stop_words: bool = True) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """`docs` as they are, `terms`: (term, link_id, title, content, tf, len), the places of the term in each field,
+    how often it occurs, and the number of tokens of the document; number and mean length of documents."""
+
+    docs: DataFrame
+    terms: DataFrame
+    number: int
+    mean: float
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str | None = None) -> Index:
+        """One pass over the texts and one shuffle, to ranges of (term, document), in which the places of a
+        term are gathered. Written to `path`, or as a scratch table."""
+        spark = docs.sparkSession
+        cut = docs.select("link_id", *[text.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in ("title", "content")])
+        cut = cut.withColumn("len", F.size("title") + F.size("content"))
+        lengths = cut.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"))
+        placed = lambda f: F.transform(f, lambda t, i: F.struct(t.alias("term"), F.lit(f).alias("field"), i.alias("pos")))
+        flat = cut.select("link_id", "len", F.explode(F.concat(placed("title"), placed("content"))).alias("t")).select("t.*", "link_id", "len")
+        ranged = flat.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", "link_id")
+        places = lambda f: F.array_sort(F.collect_list(F.when(F.col("field") == f, F.col("pos")))).alias(f)  # noqa: E731  of one term in one document
+        gathered = ranged.groupBy("term", "link_id").agg(places("title"), places("content"), F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len"))
+        ordered = gathered.sortWithinPartitions("term", "link_id")
+        if path is None:
+            terms = table(ordered, "postings")
+        else:
+            ordered.write.mode("overwrite").parquet(path)
+            terms = spark.read.schema(gathered.schema).parquet(path)
+        number, mean = lengths.first()
+        return cls(docs, terms, number, mean)
+
+    @classmethod
+    def open(cls, docs: DataFrame, path: str) -> Index:
+        """An index that build() wrote. The counts come from the documents' ids and the postings alone."""
+        terms = docs.sparkSession.read.parquet(path)
+        number, tokens = docs.agg(F.count(F.lit(1))).first()[0], terms.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        return cls(docs, terms, number, tokens / number if number else 0.0)
+
+    def lists(self, terms: list[str]) -> DataFrame:
+        """The postings of the terms."""
+        return self.terms.where(F.col("term").isin(*terms)) if terms else self.terms.where(F.lit(False))
+
+
+def _indexed(docs: DataFrame | Index) -> Index:
+    return docs if isinstance(docs, Index) else Index.build(docs)
+
+
+def match_ids(index: Index, expression: str, *, stop_words: bool = True) -> DataFrame:
+    """link_id of documents with any term of the expression in title or content."""
+    return index.lists(text.analysed(expression, stop_words)).select("link_id").distinct()
+
+
+def phrase_ids(index: Index, expression: str) -> DataFrame:
+    """link_id of documents with the terms next to each other, in order, within one field."""
+    terms = text.analysed(expression)
+    distinct = list(dict.fromkeys(terms))
+    none = F.expr("cast(array() as array<int>)")
+    at = lambda t, f: F.first(F.when(F.col("term") == t, F.col(f)), ignorenulls=True).alias(f"{f}_{distinct.index(t)}")
+    both = index.lists(distinct).groupBy("link_id").agg(F.count(F.lit(1)).alias("terms"), *[at(t, f) for f in ("title", "content") for t in distinct])
+    found = F.lit(False)
+    for f in ("title", "content") if terms else ():
+        follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(F.coalesce(f"{f}_{distinct.index(t)}", none), p + k) for k, t in enumerate(terms)])
+        found = found | F.exists(F.coalesce(f"{f}_0", none), follows)
+    return both.where((F.col("terms") == len(distinct)) & found).select("link_id")
+
+
+def hit_ids(index: Index, query_type: str, expression: str, *, stop_words: bool = True) -> DataFrame:
     """By query type; whatever is not a phrase query is a match query."""
-    return phrase(docs, expression) if query_type == "phrase" else match(docs, expression, stop_words=stop_words)
+    return phrase_ids(index, expression) if query_type == "phrase" else match_ids(index, expression, stop_words=stop_words)
 
 
-def bm25(docs: DataFrame, expression: str, *, stop_words: bool = True) -> DataFrame:
-    """(link_id, score) of documents with a term. Two scans: one for the number and mean length of
-    documents and the document frequencies (one row), one for term frequencies; nothing is shuffled
-    but partial sums."""
-    terms = list(dict.fromkeys(text.analysed(expression, stop_words)))
-    tokens = docs.select("link_id", _all_tokens().alias("tokens"))
-    per_doc = tokens.select("link_id", F.size("tokens").alias("len"), *[_occurrences(t).alias(f"tf{k}") for k, t in enumerate(terms)])
-    stats = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
-    scored = per_doc.where(_any_tf(len(terms))).crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for k in range(len(terms)):
-        tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return scored.select("link_id", score.alias("score"))
+def match(docs: DataFrame | Index, expression: str, *, stop_words: bool = True) -> DataFrame:
+    """Documents with any term of the expression in title or content."""
+    index = _indexed(docs)
+    return index.docs.join(match_ids(index, expression, stop_words=stop_words), "link_id", "left_semi")
 
 
-def _occurrences(term: str) -> Column:
-    return F.size(F.filter("tokens", lambda x: x == term))
+def phrase(docs: DataFrame | Index, expression: str) -> DataFrame:
+    """Documents with the terms next to each other, in order, within one field."""
+    index = _indexed(docs)
+    return index.docs.join(phrase_ids(index, expression), "link_id", "left_semi")
+
+
+def hits(docs: DataFrame | Index, query_type: str, expression: str, *, stop_words: bool = True) -> DataFrame:
+    """Documents, by query type."""
+    index = _indexed(docs)
+    return index.docs.join(hit_ids(index, query_type, expression, stop_words=stop_words), "link_id", "left_semi")
 
 
-def _any_tf(n: int) -> Column:
-    condition = F.lit(False)
-    for k in range(n):
-        condition = condition | (F.col(f"tf{k}") > 0)
-    return condition
+def bm25(docs: DataFrame | Index, expression: str, *, stop_words: bool = True) -> DataFrame:
+    """(link_id, score) of documents with a term, from the postings of the terms: one aggregate by document, one
+    by term (as many rows as the query has terms)."""
+    index, terms = _indexed(docs), list(dict.fromkeys(text.analysed(expression, stop_words)))
+    lists = index.lists(terms)
+    df = {r["term"]: r["df"] for r in lists.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row for each term of the query
+    per_doc = lists.groupBy("link_id").agg(F.first("len").alias("len"), *[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{k}") for k, t in enumerate(terms)])
+    score, n, mean = F.lit(0.0), F.lit(index.number), F.lit(index.mean or 1.0)
+    for k, t in enumerate(terms):
+        tf, have = F.col(f"tf{k}"), F.lit(df.get(t, 0))
+        idf = F.log(1 + (n - have + 0.5) / (have + 0.5))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean))
+    return per_doc.select("link_id", score.alias("score"))
 
 
-def search(docs: DataFrame, expression: str, *, query_type: str = "match", ranking: str = "pagerank_first", offset: int = 0, limit: int | None = PAGE, stop_words: bool = True) -> DataFrame:
+def search(docs: DataFrame | Index, expression: str, *, query_type: str = "match", ranking: str = "pagerank_first", offset: int = 0, limit: int | None = PAGE, stop_words: bool = True) -> DataFrame:
     """A page of results (link_id, url, title, content, indexed_at, pagerank, score) in rank order. No
     limit gives all from the offset on. `pagerank_first` breaks ties by score, `additive` ranks by
     score * (score + pagerank). Sort and limit plan as a top-k: no full sort, no full shuffle."""
     if offset < 0:
         raise ValueError("an offset cannot be negative")
-    found = hits(docs, query_type, expression, stop_words=stop_words)
-    scores = bm25(docs, expression, stop_words=stop_words).toDF("score_id", "score")
-    ranked = found.join(scores, F.col("link_id") == F.col("score_id"), "left").drop("score_id").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    index = _indexed(docs)
+    scores = bm25(index, expression, stop_words=stop_words)
+    found = hit_ids(index, query_type, expression, stop_words=stop_words)
+    scores = found.join(scores, "link_id", "left") if query_type == "phrase" else scores  # a match has a score, and only a match
+    ranked = index.docs.join(scores, "link_id").withColumn("score", F.coalesce("score", F.lit(0.0)))
     rank = F.coalesce("pagerank", F.lit(0.0))
     if ranking == "additive":
         ranked = ranked.withColumn("score", F.col("score") * (F.col("score") + rank))
@@ -135,8 +209,18 @@ def search(docs: DataFrame, expression: str, *, query_type: str = "match", ranki
     return paged if limit is None else paged.limit(limit)
 
 
-def total(docs: DataFrame, expression: str, *, query_type: str = "match", stop_words: bool = True) -> int:
-    return hits(docs, query_type, expression, stop_words=stop_words).count()
+def total(docs: DataFrame | Index, expression: str, *, query_type: str = "match", stop_words: bool = True) -> int:
+    """Number of hits, from the postings alone."""
+    return hit_ids(_indexed(docs), query_type, expression, stop_words=stop_words).count()
+
+
+def streamed(docs: DataFrame | Index, expression: str, *, query_type: str = "match", offset: int = 0, stop_words: bool = True) -> Iterator:
+    """The number of hits, then all hits from the offset on in rank order, one at a time, without their PageRank.
+    Rows leave the executors partition by partition; closing the iterator ends it."""
+    index = _indexed(docs)
+    yield total(index, expression, query_type=query_type, stop_words=stop_words)
+    found = search(index, expression, query_type=query_type, offset=offset, limit=None, stop_words=stop_words)
+    yield from found.drop("pagerank", "score").toLocalIterator()
 
 
 # ---------------------------------------------------------------- result pages
@@ -165,9 +249,9 @@ def presented(found: DataFrame, terms: str, summary_length: int = 256) -> DataFr
     return found.select("link_id", "url", title.alias("title"), summary.alias("summary"), "pagerank")
 
 
-def run_query(docs: DataFrame, terms: str, offset: int = 0, *, page: int = PAGE, summary_length: int = 256) -> Results:
+def run_query(docs: DataFrame | Index, terms: str, offset: int = 0, *, page: int = PAGE, summary_length: int = 256) -> Results:
     """What a search page shows: a quoted query is a phrase; summaries are made after the limit."""
-    kind = "phrase" if text.is_phrase(terms) else "match"
-    found = search(docs, terms, query_type=kind, offset=max(0, offset), limit=page)
-    number = total(docs, terms, query_type=kind)
+    kind, index = "phrase" if text.is_phrase(terms) else "match", _indexed(docs)
+    found = search(index, terms, query_type=kind, offset=max(0, offset), limit=page)
+    number = total(index, terms, query_type=kind)
     return Results(presented(found, terms, summary_length), pagination(terms, max(0, offset), max(0, min(page, number - offset)), number, page))

@@ -89,7 +89,8 @@ def find_link(spark, d):
 
 def find_document(spark, d):
     first = read(spark, d, "documents").agg(uuid_of(F.max("doc_id").cast("string"))).first()[0]
-    return docs(spark, d).where(F.col("link_id") == first).limit(1)
+    row = textindex.find_by_id(docs(spark, d), first)
+    return spark.createDataFrame([row], docs(spark, d).schema)
 
 
 def upsert_links(spark, d):
@@ -290,34 +291,45 @@ def postings(spark, d):
     return textindex.postings(docs(spark, d)).groupBy("term", "link_id").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+_indexes: dict[tuple[str, str], textindex.Index] = {}
+
+
+def index(spark, d) -> textindex.Index:
+    """The text index of a folder: built by the first query of an application, read by all."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = textindex.Index.build(docs(spark, d))
+    return _indexes[key]
+
+
 def search_match(spark, d):
-    return textindex.hits(docs(spark, d), "match", MATCH).select("link_id", "pagerank")
+    return textindex.hits(index(spark, d), "match", MATCH).select("link_id", "pagerank")
 
 
 def search_phrase(spark, d):
-    return textindex.hits(docs(spark, d), "phrase", PHRASE).select("link_id", "pagerank")
+    return textindex.hits(index(spark, d), "phrase", PHRASE).select("link_id", "pagerank")
 
 
 def search_offset(spark, d):
-    return textindex.search(docs(spark, d), MATCH, offset=5).select("link_id", "pagerank")
+    return textindex.search(index(spark, d), MATCH, offset=5).select("link_id", "pagerank")
 
 
 def search_total(spark, d):
-    found = docs(spark, d)
-    return textindex.match(found, MATCH).agg(F.count(F.lit(1)).alias("n_match")).crossJoin(textindex.phrase(found, PHRASE).agg(F.count(F.lit(1)).alias("n_phrase")))
+    n_match, n_phrase = textindex.match_ids(index(spark, d), MATCH), textindex.phrase_ids(index(spark, d), PHRASE)
+    return n_match.agg(F.count(F.lit(1)).alias("n_match")).crossJoin(n_phrase.agg(F.count(F.lit(1)).alias("n_phrase")))  # a row each
 
 
 def search_bm25(spark, d):
-    return textindex.bm25(docs(spark, d), MATCH).select("link_id", F.round("score", 6).alias("score"))
+    return textindex.bm25(index(spark, d), MATCH).select("link_id", F.round("score", 6).alias("score"))
 
 
 def search_additive(spark, d):
-    return textindex.search(docs(spark, d), MATCH, ranking="additive", limit=None).select("link_id", F.round("score", 6).alias("score"))
+    return textindex.search(index(spark, d), MATCH, ranking="additive", limit=None).select("link_id", F.round("score", 6).alias("score"))
 
 
 def match_summary(spark, d):
     terms = text.query_terms(MATCH)
-    return textindex.match(docs(spark, d), MATCH).select("link_id", text.match_summary(F.col("content"), terms).alias("summary"))
+    return textindex.match(index(spark, d), MATCH).select("link_id", text.match_summary(F.col("content"), terms).alias("summary"))
 
 
 def sentence_split(spark, d):
@@ -341,7 +353,7 @@ def html_escape(spark, d):
 
 def pagination(spark, d):
     """Page links of every offset of a search, page by page."""
-    number = textindex.total(docs(spark, d), MATCH)
+    number = textindex.total(index(spark, d), MATCH)
     rows = [tuple(textindex.pagination("q", o, min(10, number - o), number, 10)[k] for k in ("from", "to", "total", "prev", "next")) for o in range(0, max(1, number), 10)]
     return spark.createDataFrame(rows, "first long, last long, total long, prev string, next string")
 
