@@ -96,3 +96,64 @@ def test_unknown_vertices(spark):
     assert g.add_edges(more, strict=False).edges.count() == 1
     new = g.add_vertices(spark.createDataFrame([("a", 3.0), ("b", 4.0)], "id string, value double"))
     assert {r.id: (r.value, r.active) for r in new.vertices.collect()} == {"a": (3, True), "b": (4, True)}
+
+
+def test_messages_to_any_vertex(spark):
+    """Vertices without edges send to whom they like; messages may be lists."""
+    vertices = spark.createDataFrame([("a", "-"), ("b", "-"), ("c", "-")], "id string, value string")
+    none = spark.createDataFrame([], "src string, dst string")
+    to_all = lambda s: F.array(*[F.struct(F.lit(t).alias("to"), F.concat("id", F.lit(">"), F.lit(t)).alias("payload")) for t in "ab"]) if s.number == 0 else F.expr("cast(array() as array<struct<to:string,payload:string>>)")
+    program = bsp.Program(update=lambda s: F.coalesce(F.array_join(F.array_sort("msg"), " "), F.col("value")), send=to_all, merge=lambda: F.collect_list("payload"), message="array<string>")
+    done = bsp.execute(bsp.Graph.of(vertices, none), program, steps=2)
+    assert {r.id: r.value for r in done.vertices.collect()} == {"a": "a>a b>a c>a", "b": "a>b b>b c>b", "c": "-"}
+
+
+def test_edge_values(spark):
+    """A program sets its out-edges, and sends along them what they hold."""
+    program = bsp.Program(
+        update=lambda s: F.col("value") + F.coalesce("msg", F.lit(0.0)), payload=lambda s: F.col("edge_value"),
+        edges=lambda s: F.when(F.col("src") == "a", F.coalesce("edge_value", F.lit(0.0)) + 1).otherwise(F.col("edge_value")),
+    )
+    g = graph(spark, {"a": 0, "b": 0}, "ab ba")
+    done = bsp.execute(g, program, steps=4)
+    assert {(r.src, r.value) for r in done.edges.collect()} == {("a", 4.0), ("b", None)}
+    assert {r.id: r.value for r in done.vertices.collect()} == {"a": 0, "b": 1 + 2}  # an edge value goes along in the step behind the one that sets it
+
+
+def test_relay_between_two_graphs(spark):
+    """A message to a vertex of another graph is handed over, and its answer comes back."""
+    outbox = []
+    relay = bsp.Settings(relay=lambda unknown: outbox.append([(r["to"], r.msg) for r in unknown.collect()]))
+    forward = lambda to: bsp.Program(
+        update=lambda s: F.col("value") + F.coalesce("msg", F.lit(0.0)), halt=lambda s: F.lit(True),
+        send=lambda s: F.when(F.col("value") > 0, F.array(F.struct(F.lit(to).alias("to"), F.col("value").alias("payload")))),
+    )
+    one, two = bsp.Execution(graph(spark, {"a": 42}, "aa"), forward("b"), relay), bsp.Execution(graph(spark, {"b": 0}, "bb"), forward("a"), relay)
+    two.step()
+    assert outbox == [[]] or outbox == []
+    outbox.clear()
+    one.step()
+    assert outbox == [[("b", 42.0)]]
+    two.take_messages()
+    two.deliver(spark.createDataFrame(outbox.pop(), "to string, payload double"))
+    assert two.step() == 1 and two.vertices.first().value == 42 and outbox == [[("a", 42.0)]]
+    one.take_messages()
+    one.deliver(spark.createDataFrame(outbox.pop(), "to string, payload double"))
+    one.step()
+    assert one.vertices.first().value == 84
+    with pytest.raises(ValueError):
+        bsp.Settings(strict=True, relay=print)
+    with pytest.raises(ValueError):
+        bsp.Settings(most_steps=0)
+
+
+def test_reset_and_close(spark):
+    counting = bsp.Program(update=lambda s: F.col("value") + 1)
+    with bsp.Execution(graph(spark, {"a": 0}, "aa"), counting, bsp.Settings(most_steps=3)) as run:
+        assert run.run(2).vertices.first().value == 2 and run.run(2).vertices.first().value == 4 and run.number == 4
+        run.reset()
+        assert run.number == 0 and run.run().vertices.first().value == 3
+        held = list(run._written)
+    from weftline.sources.scratch import _written
+
+    assert len(held) == 1 and run._written == [] and held[0]._scratch_path not in _written

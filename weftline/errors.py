@@ -23,3 +23,7 @@ class MissingLinkId(ValueError):
 
 class InvalidRange(ValueError):
     """A key range is empty, reversed or asked for a part it does not have."""
+
+
+class NoPartition(RuntimeError):
+    """A process does not know its part of the key space yet; its work can wait."""

@@ -23,19 +23,24 @@ def extract_links(pages: DataFrame, hosts: DataFrame | None = None) -> DataFrame
     types; with `hosts` (host, private), links to other hosts stay only if those are known and public."""
     found = pages.withColumn("__found", html.page_links(F.col("url"), F.col("raw_content")))
     if hosts is not None:
-        found = _public_only(found, hosts)
+        found = _public_only(found.withColumn("__host", urls.host(html.page_base(F.col("url"), F.col("raw_content")))), hosts)
+    return _split(found)
+
+
+def _split(found: DataFrame) -> DataFrame:
+    """__found as nofollow_links and links."""
     nofollow = F.transform(F.filter("__found", lambda a: a["nofollow"]), lambda a: a["url"])
     follow = F.transform(F.filter("__found", lambda a: ~a["nofollow"]), lambda a: a["url"])
-    return found.withColumn("nofollow_links", nofollow).withColumn("links", follow).drop("__found")
+    return found.withColumn("nofollow_links", nofollow).withColumn("links", follow).drop("__found", "__host")
 
 
 def _public_only(found: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Links on the page's host, or on hosts that are public. Hosts are joined once each, not once a link."""
-    own = found.withColumn("__host", urls.host(html.page_base(F.col("url"), F.col("raw_content"))))
+    """Links on the page's host (__host), or on hosts that are public. Hosts are joined once each, not once a link."""
+    own = found
     targets = own.select("url", F.explode(F.array_distinct(F.transform("__found", lambda a: F.lower(urls.host(a["url"]))))).alias("target"))
     public = targets.join(hosts.where(~F.col("private")), F.col("target") == F.col("host")).groupBy(F.col("url").alias("__url")).agg(F.collect_set("target").alias("__public"))
     kept = F.filter("__found", lambda a: (urls.host(a["url"]) == F.col("__host")) | F.array_contains(F.coalesce("__public", F.expr("cast(array() as array<string>)")), F.lower(urls.host(a["url"]))))
-    return own.join(public, F.col("url") == F.col("__url"), "left").withColumn("__found", kept).drop("__host", "__url", "__public")
+    return own.join(public, F.col("url") == F.col("__url"), "left").withColumn("__found", kept).drop("__url", "__public")
 
 
 def exploded_links(pages: DataFrame) -> DataFrame:
@@ -64,8 +69,12 @@ def crawl(graph: LinkGraph, docs: DataFrame, responses: DataFrame, now, *, stale
     """One pass over the links of a key range that were retrieved before `stale_before`: the new graph and
     index, and how many links went through. A link whose fetch fails keeps its time and is tried again."""
     links = graph.scan_links(start, end, now if stale_before is None else stale_before)
-    payload = table(extract_text(extract_links(fetch.fetched(links, responses, hosts), hosts)).drop("raw_content"), "payload")
-    return Pass(graph.update(payload, now), index_docs(docs, documents_of(payload, now)), payload.count())
+    pages = fetch.fetched(links, responses, hosts)
+    found = extract_text(pages).withColumn("__found", html.page_links(F.col("url"), F.col("raw_content"))).withColumn("__host", urls.host(html.page_base(F.col("url"), F.col("raw_content"))))
+    payload = table(found.drop("raw_content"), "payload")
+    narrow = payload.select("url", "__found", "__host")  # hosts are looked up without the texts
+    linked = _split(narrow if hosts is None else _public_only(narrow, hosts))
+    return Pass(graph.update(linked, now), index_docs(docs, documents_of(payload, now)), payload.count())
 
 
 def page_graph(pages: DataFrame, now) -> LinkGraph:

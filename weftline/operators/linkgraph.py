@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NotFound, UnknownEdgeLinks
 from ..schemas import edge_id, instant, link_id, never
+from ..sources.scratch import table
 
 
 def in_range(key: Column, start: str | None, end: str | None) -> Column:
@@ -24,6 +25,31 @@ def in_range(key: Column, start: str | None, end: str | None) -> Column:
     return condition
 
 
+class Cursor:
+    """The rows of a frame one at a time, as the executors hand them over, a partition ahead at most. Closing it
+    (or leaving a with block) ends the scan; a closed cursor has no more rows."""
+
+    def __init__(self, df: DataFrame):
+        self._rows = df.toLocalIterator(prefetchPartitions=True)
+
+    def __iter__(self) -> Cursor:
+        return self
+
+    def __next__(self):
+        if self._rows is None:
+            raise StopIteration
+        return next(self._rows)
+
+    def close(self) -> None:
+        self._rows = None
+
+    def __enter__(self) -> Cursor:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def submitted(urls: DataFrame) -> DataFrame:
     """Links that a user hands in (url): http and https only, without fragment, never retrieved."""
     clean = F.regexp_replace("url", "(?s)#.*", "")
@@ -50,6 +76,14 @@ class LinkGraph:
     def link(self, id_: str) -> DataFrame:
         return self.links.where(F.col("id") == id_).limit(1)
 
+    def stream_links(self, *args, **kwargs) -> Cursor:
+        """scan_links(), row by row."""
+        return Cursor(self.scan_links(*args, **kwargs))
+
+    def stream_edges(self, *args, **kwargs) -> Cursor:
+        """scan_edges(), row by row."""
+        return Cursor(self.scan_edges(*args, **kwargs))
+
     def find_link(self, id_: str):
         """The row of a link, or NotFound."""
         row = self.link(id_).first()
@@ -107,10 +141,12 @@ class LinkGraph:
     def update(self, pages: DataFrame, now) -> LinkGraph:
         """One crawl pass (url, nofollow_links, links): sources are upserted with `now`, targets without a
         time, followed targets get an edge, and edges of the sources that were not seen now go."""
+        pages = table(pages.select("url", "nofollow_links", "links"), "pages")  # read four times, parsed once
         own = pages.select("url", instant(now).alias("retrieved_at"))
         # array_union merges per page, so each target leaves a page once
         targets = pages.select(F.explode(F.array_union("nofollow_links", "links")).alias("url"), never().alias("retrieved_at"))
         known = self.upsert_links(own.unionByName(targets))
+        known = replace(known, links=table(known.links, "links"))
         ids = known.links.select(F.col("url").alias("u"), "id")
         followed = pages.select("url", F.explode("links").alias("target")).distinct()
         edges = (

@@ -6,18 +6,19 @@
 Parallel edges count, self-loops do not. Dead ends are one scalar a step, never edges to everywhere.
 Edges carry 1 / outdeg and stay partitioned by source on the executors; a superstep shuffles the ranks
 (one row a vertex, one exchange for both joins) and partial sums of contributions. Ranks are written as
-a scratch table after each step: plans stay as short as the first, and a lost executor costs one step."""
+a scratch table after each step, which also adds up the step's two scalars: plans stay as short as the
+first, a lost executor costs one step, and the table of the step before goes."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import InvalidDestination
-from ..sources.scratch import table
+from ..sources.scratch import drop, table
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, *, config: Config = Config()
         if not number:
             return Ranks(ids.select("id", F.lit(0.0).alias("rank")), 0, 0.0)
         d = config.damping
-        ranks = base.select("id", "dead", F.lit(1.0 / number).alias("rank"))
+        ranks, written = base.select("id", "dead", F.lit(1.0 / number).alias("rank")), base
         residual, difference, step = dead / number / number, 1.0, 1
         while steps is None or step + 1 < steps:
             if steps is None and difference < config.tolerance:
@@ -88,10 +89,13 @@ def pagerank(vertices: DataFrame, edges: DataFrame, *, config: Config = Config()
             got = ranks.join(weighted, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("weight")).alias("received"))
             fixed = (1 - d) / number + d * residual
             rank = F.lit(fixed) + d * F.coalesce("received", F.lit(0.0))
-            ranks = table(ranks.join(got, F.col("id") == F.col("dst"), "left").select("id", "dead", F.col("rank").alias("old"), rank.alias("rank")), "ranks")
-            difference, lost = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.sum(F.when(F.col("dead"), F.col("rank")).otherwise(0.0))).first()
-            residual = lost / number
-            ranks = ranks.select("id", "dead", "rank")
+            after, sums = ranks.join(got, F.col("id") == F.col("dst"), "left").select("id", "dead", F.col("rank").alias("old"), rank.alias("rank")), Observation()
+            changed = F.sum(F.abs(F.col("rank") - F.col("old"))).alias("difference")
+            after = after.observe(sums, changed, F.sum(F.when(F.col("dead"), F.col("rank")).otherwise(0.0)).alias("lost"))
+            after = table(after.select("id", "dead", "rank"), "ranks")
+            drop(written)
+            ranks = written = after
+            difference, residual = sums.get["difference"], sums.get["lost"] / number
         return Ranks(ranks.select("id", "rank"), step if steps is None else steps, difference)
     finally:
         weighted.unpersist()

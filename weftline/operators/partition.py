@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from uuid import UUID
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import InvalidRange
+from ..errors import InvalidRange, NoPartition
 from ..schemas import MAX_ID, NIL_ID
 
 
@@ -63,3 +64,24 @@ class FixedPartition:
 
     def extents(self) -> tuple[str, str]:
         return KeyRange.full(self.parts).extents(self.part)
+
+
+@dataclass(frozen=True)
+class RecordPartition:
+    """The part that a process takes by its place among its peers: the number behind the last dash of its host
+    name, of as many parts as `lookup` (say, of service records) finds. Raises NoPartition while that is unknown."""
+
+    host: str
+    lookup: Callable[[], Sequence]
+
+    def extents(self) -> tuple[str, str]:
+        number = self.host.rpartition("-")[2]
+        if not number.isdigit():
+            raise NoPartition(f"no number behind the last dash of {self.host!r}")
+        try:
+            parts = len(self.lookup())
+        except OSError as error:
+            raise NoPartition("the peers are not known yet") from error
+        if int(number) >= parts:
+            raise NoPartition(f"part {number} of {parts} known peers")
+        return KeyRange.full(parts).extents(int(number))
