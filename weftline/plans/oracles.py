@@ -85,7 +85,78 @@ s AS (SELECT count(*) AS n, avg(length) AS mean, {df} FROM t1),
 q AS (SELECT link_id, pagerank, {score} AS score FROM t1, s WHERE {' OR '.join(f'tf{k} > 0' for k in range(len(TERMS)))})"""
 
 
+def _converged(prefix: str, vertices: str, columns: str = "id, round(rank, 9) AS rank", rest: str = "") -> str:
+    """PageRank until the sum of changes is under 0.001. The first step has 1 / N everywhere."""
+    return f"""WITH RECURSIVE {prefix},
+x AS MATERIALIZED (SELECT src, dst FROM e WHERE src <> dst AND src IN (SELECT id FROM {vertices}) AND dst IN (SELECT id FROM {vertices})),
+o AS MATERIALIZED (SELECT src, count(*) AS deg FROM x GROUP BY src),
+n AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM {vertices}),
+w AS MATERIALIZED (SELECT id, id NOT IN (SELECT src FROM o) AS dead FROM {vertices}),
+r(step, id, dead, rank, diff) AS (
+  SELECT 1, id, dead, 1 / (SELECT n FROM n), 1.0::DOUBLE FROM w
+  UNION ALL
+  SELECT step + 1, id, dead, new, sum(abs(new - rank)) OVER () FROM (
+    SELECT r.step, r.id, r.dead, r.rank,
+           0.15::DOUBLE / (SELECT n FROM n) + 0.85::DOUBLE * (sum(CASE WHEN r.dead THEN r.rank ELSE 0 END) OVER () / (SELECT n FROM n)) + 0.85::DOUBLE * coalesce(c.s, 0) AS new
+    FROM r LEFT JOIN (SELECT x.dst, sum(r.rank / o.deg) AS s FROM x JOIN o USING (src) JOIN r ON r.id = x.src GROUP BY x.dst) c ON c.dst = r.id
+    WHERE r.diff >= 0.001)),
+last AS (SELECT id, rank FROM r WHERE step = (SELECT max(step) FROM r))
+{rest or f'SELECT {columns} FROM last'}"""
+
+
+#: Fixed values, as in functions/text.py and functions/html.py: what ends a sentence, white space, silent elements.
+_WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SILENT = ("frame", "frameset", "iframe", "noembed", "noframes", "noscript", "nostyle", "object", "script", "style")
+
+#: One row a character; then the sentences, as the characters up to each break.
+SENTENCES = rf"""{DOCS},
+ch AS (SELECT link_id, unnest(string_split(content, '')) AS c, generate_subscripts(string_split(content, ''), 1) AS i FROM d WHERE content <> ''),
+nb AS (SELECT link_id, i, c, lag(c) OVER w AS a, lead(c) OVER w AS z, lead(c, 2) OVER w AS more FROM ch WINDOW w AS (PARTITION BY link_id ORDER BY i)),
+br AS (SELECT link_id, i, c, a IS NOT NULL AND more IS NOT NULL AND c IN ('.', '!', '?')
+       AND (regexp_matches(a, '^\p{{S}}$') OR regexp_matches(a, '^[\p{{Ll}}\p{{N}}{_WHITE}]$') AND regexp_matches(z, '^[\p{{P}}\p{{N}}\p{{Lu}}{_WHITE}]$')) AS ends FROM nb),
+no AS (SELECT link_id, i, c, coalesce(sum(ends::INTEGER) OVER (PARTITION BY link_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS ordinal FROM br),
+st AS (SELECT link_id, ordinal, string_agg(c, '' ORDER BY i) AS text FROM no GROUP BY 1, 2),
+sh AS (SELECT *, (len(list_filter(ws, lambda x: lower(x) IN ('stupid', 'idiot', 'pathetic')))::FLOAT / greatest(len(ws), 1)::FLOAT)::FLOAT AS share
+       FROM (SELECT *, list_filter(regexp_split_to_array(text, '[{_WHITE}]+'), lambda x: x <> '') AS ws FROM st))"""
+
+SUMMARY = rf"""WITH RECURSIVE {SENTENCES.replace("WHERE content <> ''", f"WHERE content <> '' AND {HIT}")},
+h AS (SELECT link_id FROM d WHERE {HIT}),
+k AS MATERIALIZED (SELECT link_id, ordinal, text, row_number() OVER (PARTITION BY link_id ORDER BY share DESC, ordinal) AS k FROM sh JOIN h USING (link_id) WHERE share > 0),
+g(link_id, k, ordinal, cut, room) AS (
+  SELECT link_id, 0::BIGINT, -1, '', 256::BIGINT FROM h
+  UNION ALL
+  SELECT link_id, k, ordinal, cut, room - strlen(cut) FROM (
+    SELECT g.link_id, k.k, k.ordinal, CASE WHEN strlen(k.text) > g.room THEN substr(k.text, 1, g.room) || '...' ELSE k.text END AS cut, g.room
+    FROM g JOIN k ON k.link_id = g.link_id AND k.k = g.k + 1 WHERE g.room > 0)),
+j AS (SELECT link_id, ordinal, cut, lag(ordinal) OVER (PARTITION BY link_id ORDER BY ordinal) AS last FROM g WHERE k > 0),
+t AS (SELECT link_id, string_agg(CASE WHEN last IS NOT NULL AND ordinal - last <> 1 THEN '..' ELSE '' END || cut || CASE WHEN ends_with(cut, '.') THEN '' ELSE '.' END, '' ORDER BY ordinal) AS s FROM j GROUP BY 1)
+SELECT link_id, coalesce(regexp_replace(s, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g'), '') AS summary FROM h LEFT JOIN t USING (link_id)"""
+
+
+def _stripped(column: str) -> str:
+    """Without comments, silent elements and tags; white space collapsed, the entities of the tables decoded, trimmed."""
+    text = f"regexp_replace({column}, '(?s)<!--.*?-->', '', 'g')"
+    for name in _SILENT:
+        text = rf"regexp_replace({text}, '(?is)<{name}\b[^>]*>.*?</{name}[\t\n\f\r ]*>', '', 'g')"
+    text = rf"""regexp_replace({text}, '(?s)</?[A-Za-z!?](?:"[^"]*"|''[^'']*''|[^''">])*>', '', 'g')"""
+    text = rf"regexp_replace({text}, '[\t\n\f\r ]+', ' ', 'g')"
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{plain}')"
+    return rf"regexp_replace({text}, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g')"
+
+
+_TITLE = "regexp_extract(html, '(?i)<title.*?>(.*?)</title>', 1)"
+
 ORACLES: dict[str, str] = {
+    "pagerank_converged": _converged(PARTS, "v"),
+    "flagship": _converged(
+        GRAPH, "g", rest=rf"""SELECT g.url, coalesce(t.title, g.url) AS title, round(last.rank, 9) AS rank FROM last JOIN g USING (id)
+        LEFT JOIN (SELECT {_uuid('url')} AS id, {_stripped(_TITLE)} AS title FROM pages) t USING (id) ORDER BY round(last.rank, 9) DESC, g.url LIMIT 10""",
+    ),
+    "extract_text": f"SELECT page_id, {_stripped(_TITLE)} AS title, length(t)::INTEGER AS n_chars, md5(t) AS text_md5 FROM (SELECT *, {_stripped('html')} AS t FROM pages)",
+    "sentence_split": f"WITH {SENTENCES} SELECT link_id, coalesce(n, 0)::INTEGER AS n, md5(coalesce(joined, '')) AS joined_md5 FROM d LEFT JOIN (SELECT link_id, count(*) AS n, string_agg(text, chr(10) ORDER BY ordinal) AS joined FROM st GROUP BY 1) USING (link_id)",
+    "match_share": f"WITH {SENTENCES} SELECT link_id, round(coalesce(best, 0)::DOUBLE, 5) AS share FROM d LEFT JOIN (SELECT link_id, max(share) AS best FROM sh GROUP BY 1) USING (link_id)",
+    "match_summary": SUMMARY,
     "links_range_scan": f"WITH {LINKS} SELECT * FROM l WHERE id >= '40000000-0000-0000-0000-000000000000' AND id < '80000000-0000-0000-0000-000000000000' AND retrieved_at < TIMESTAMP '2024-01-10'",
     "edges_range_scan": f"WITH {PAGES}, {EDGES} SELECT id, src, dst, updated_at FROM e WHERE src >= '80000000-0000-0000-0000-000000000000' AND src < 'c0000000-0000-0000-0000-000000000000' AND updated_at < TIMESTAMP '2024-01-10'",
     "find_link": f"WITH {LINKS} SELECT * FROM l WHERE url = (SELECT min(url) FROM pages)",
@@ -95,13 +166,21 @@ ORACLES: dict[str, str] = {
     "upsert_edges_unknown": f"WITH {PAGES}, {LINKS}, {EDGES} SELECT src, dst FROM e WHERE dst NOT IN (SELECT id FROM l) OR src NOT IN (SELECT id FROM l)",
     "remove_stale_edges": f"WITH {GRAPH} SELECT id, src, dst, updated_at FROM e WHERE updated_at >= {_stamp('240')}",
     "cascade_delete": f"WITH {GRAPH}, k AS (SELECT id FROM g WHERE url NOT LIKE 'https://%') SELECT id, src, dst, updated_at FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)",
-    "submit_links": rf"""WITH {GRAPH}, w AS (SELECT url, retrieved_at FROM g UNION ALL SELECT regexp_replace(url, '#.*', ''), TIMESTAMP '0001-01-01' FROM pages)
+    "submit_links": rf"""WITH {GRAPH}, w AS (SELECT url, retrieved_at FROM g UNION ALL SELECT regexp_replace(url, '#.*', ''), TIMESTAMP '0001-01-01' FROM pages WHERE page_id % 4 <> 1)
         SELECT {_uuid('url')} AS id, url, max(retrieved_at) AS retrieved_at FROM w GROUP BY url""",
     "partition_assignment": f"WITH {GRAPH} SELECT 10::INTEGER AS parts, {_part(10)} AS part, count(*) AS n FROM g GROUP BY part UNION ALL SELECT 11, {_part(11)} AS part, count(*) FROM g GROUP BY part",
     "id_roundtrip": f"WITH {LINKS} SELECT id, upper(replace(id, '-', '')) AS raw, id AS back FROM l",
     "extract_links": f"WITH {PAGES}, w AS (SELECT page_id, string_agg(link, ' ' ORDER BY ordinal) AS links, count(*)::INTEGER AS n FROM a GROUP BY 1) SELECT pages.page_id, coalesce(links, '') AS links, '' AS nofollow_links, coalesce(n, 0)::INTEGER AS n FROM pages LEFT JOIN w USING (page_id)",
     "extract_links_exploded": f"WITH {PAGES} SELECT url, ordinal::INTEGER AS ordinal, link, false AS nofollow FROM a",
-    "url_exclusion": f"WITH {PAGES} SELECT url, link, true AS image, false AS plain FROM a",
+    "url_exclusion": f"WITH {PAGES} SELECT url, link, length(link) % 6 IN (0, 2, 4) AS excluded FROM a",
+    "link_cases": """WITH w AS (SELECT *, doc_id % 3 = 0 AS b FROM documents)
+        SELECT doc_id, 'No ' || doc_id || ' & more' AS title,
+        CASE WHEN b THEN 'http://b' || doc_id % 7 || '.example.net/dir/' ELSE 'http://site' || doc_id % 11 || '.example.com/a/' END || 'p' || doc_id || '.html '
+        || CASE WHEN b THEN 'http://b' || doc_id % 7 || '.example.net/' ELSE 'http://site' || doc_id % 11 || '.example.com/' END || 'up?x=' || doc_id AS links,
+        'http://h' || doc_id % 5 || '.example.org/x' AS nofollow_links FROM w""",
+    "external_documents": f"WITH {DOCS} SELECT link_id AS LinkID, url AS URL, strftime(indexed_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS IndexedAt, length(content)::INTEGER AS n_chars, pagerank AS PageRank FROM d",
+    "bsp_send_to": f"""WITH {PARTS}, m AS (SELECT 's' || (substr(id, 2)::BIGINT % 7 + 1) AS id, substr(id, 2)::BIGINT AS x FROM v WHERE id LIKE 'p%')
+        SELECT id, md5(string_agg(x::VARCHAR, ',' ORDER BY x)) AS list_md5 FROM m WHERE id IN (SELECT id FROM v) GROUP BY id""",
     "retain_links": rf"WITH {PAGES} SELECT url, count(*) AS kept, max(regexp_extract(link, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM a GROUP BY url",
     "extract_title": r"SELECT page_id, regexp_extract(html, '(?i)<title.*?>(.*?)</title>', 1) AS title FROM pages",
     "private_network_filter": """WITH w AS (SELECT event_id, (event_id * 2654435761) % 4294967296 AS x FROM events)

@@ -121,7 +121,27 @@ def cascade_delete(spark, d):
 
 
 def submit_links(spark, d):
-    return graph(spark, d).upsert_links(submitted(read(spark, d, "pages").select("url"))).links
+    """Pages handed in again, and addresses that are refused."""
+    given = read(spark, d, "pages").select(F.when(F.pmod("page_id", F.lit(4)) == 1, F.concat(F.lit("ftp://x/"), "url")).when(F.pmod("page_id", F.lit(4)) == 2, F.concat("url", F.lit("#part"))).otherwise(F.col("url")).alias("url"))
+    return graph(spark, d).upsert_links(submitted(given)).links
+
+
+def external_documents(spark, d):
+    """Documents as another system takes them."""
+    return textindex.external(docs(spark, d)).select("LinkID", "URL", "IndexedAt", F.length("Content").alias("n_chars"), "PageRank")
+
+
+def bsp_send_to(spark, d):
+    """Parts send their number to one supplier each, whatever their edges; a supplier keeps the sorted list."""
+    ids, pairs = parts_graph(spark, d)
+    number = F.substring("id", 2, 20).cast("bigint")
+    to = F.when(F.col("id").startswith("p"), F.array(F.struct(F.concat(F.lit("s"), (F.pmod(number, F.lit(7)) + 1).cast("string")).alias("to"), number.alias("payload"))))
+    program = bsp.Program(
+        update=lambda step: F.coalesce(F.array_join(F.transform(F.array_sort("msg"), lambda x: x.cast("string")), ","), F.col("value")),
+        send=lambda step: to if step.number == 0 else F.expr("cast(null as array<struct<to:string,payload:bigint>>)"), merge=lambda: F.collect_list("payload"), message="array<bigint>",
+    )
+    done = bsp.execute(bsp.Graph.of(ids.select("id", F.lit("").alias("value")), pairs), program, steps=2)
+    return done.vertices.where(F.col("value") != "").select("id", F.md5(F.col("value").cast("binary")).alias("list_md5"))
 
 
 def partition_assignment(spark, d):
@@ -150,7 +170,23 @@ def extract_links_exploded(spark, d):
 
 
 def url_exclusion(spark, d):
-    return crawl.exploded_links(payload(spark, d)).select("url", "link", urls.excluded(F.concat("link", F.lit(".PNG"))).alias("image"), urls.excluded(F.col("link")).alias("plain"))
+    """Links with one of six endings each, some of them of files that are no pages."""
+    ending = F.element_at(F.array(*map(F.lit, (".PNG", ".jsx", ".css", ".css?x=1", ".ico", ".html"))), F.pmod(F.length("link"), F.lit(6)) + 1)
+    return crawl.exploded_links(payload(spark, d)).select("url", "link", urls.excluded(F.concat("link", ending)).alias("excluded"))
+
+
+def link_cases(spark, d):
+    """Pages made of ids: base elements on every third, targets of every kind, nofollow, titles with entities."""
+    n = lambda k: F.pmod("doc_id", F.lit(k)).cast("string")
+    id_ = F.col("doc_id").cast("string")
+    base = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit('<BASE href="http://b'), n(7), F.lit('.example.net/dir">'))).otherwise("")
+    made = F.concat(
+        F.lit("<title>No "), id_, F.lit(" &amp; <i>more</i></title>"), base, F.lit('<a href="p'), id_, F.lit('.html">1</a><a rel="nofollow" href="//h'), n(5),
+        F.lit('.example.org/x#f">2</a> <a href="mailto:a@b">3</a><A HREF="img'), id_, F.lit('.PNG">4</A><a class="c" href="../up?x='), id_, F.lit('">5</a><a href="p'), id_, F.lit('.html#again">6</a>'),
+    )
+    pages = read(spark, d, "documents").select("doc_id", F.concat(F.lit("http://site"), n(11), F.lit(".example.com/a/b.html")).alias("url"), made.alias("raw_content"))
+    found = crawl.extract_links(pages)
+    return found.select("doc_id", html.title(F.col("raw_content")).alias("title"), F.array_join("links", " ").alias("links"), F.array_join("nofollow_links", " ").alias("nofollow_links"))
 
 
 def retain_links(spark, d):
@@ -256,7 +292,7 @@ def pagerank_parts_fixed(spark, d):
 
 
 def pagerank_converged(spark, d):
-    return pagerank(*parts_graph(spark, d), config=Config()).scores
+    return ranked(pagerank(*parts_graph(spark, d), config=Config()).scores)
 
 
 def flagship(spark, d):
@@ -266,7 +302,8 @@ def flagship(spark, d):
     scores = pagerank(stored.links.select("id"), stored.edges.select("src", "dst")).scores
     titles = extracted.select(link_id(F.col("url")).alias("page"), html.title(F.col("raw_content")).alias("title"))
     named = scores.join(stored.links.select("id", "url"), "id").join(titles, F.col("id") == F.col("page"), "left")
-    return named.orderBy(F.desc("rank"), "url").limit(10).select("url", F.coalesce("title", "url").alias("title"), F.round("rank", 9).alias("rank"))
+    best = named.withColumn("rank", F.round("rank", 9)).orderBy(F.desc("rank"), "url")  # ranks that differ by rounding alone are ties
+    return best.limit(10).select("url", F.coalesce("title", "url").alias("title"), "rank")
 
 
 # ---------------------------------------------------------------- index and search
@@ -385,9 +422,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         links_range_scan, edges_range_scan, find_link, find_document, upsert_links, upsert_edges, upsert_edges_unknown, remove_stale_edges, cascade_delete, submit_links,
-        partition_assignment, id_roundtrip, extract_links, extract_links_exploded, url_exclusion, retain_links, extract_title, extract_text, private_network_filter, fetch_filter,
-        crawl_graph_update, crawl_links_update, out_degree, in_contrib, dead_end_links, aggregators, bsp_broadcast, bsp_freeze, pagerank_pages_fixed, pagerank_parts_fixed,
-        pagerank_converged, flagship, index_preserves_score, update_scores_placeholder, postings, search_match, search_phrase, search_offset, search_total, search_bm25, search_additive,
+        partition_assignment, id_roundtrip, extract_links, extract_links_exploded, url_exclusion, link_cases, retain_links, extract_title, extract_text, private_network_filter, fetch_filter,
+        crawl_graph_update, crawl_links_update, out_degree, in_contrib, dead_end_links, aggregators, bsp_broadcast, bsp_freeze, bsp_send_to, pagerank_pages_fixed, pagerank_parts_fixed,
+        pagerank_converged, flagship, index_preserves_score, update_scores_placeholder, external_documents, postings, search_match, search_phrase, search_offset, search_total, search_bm25, search_additive,
         match_summary, sentence_split, match_share, highlight, html_escape, pagination, title_fallback, pipeline_filter, broadcast_stage, window_counts,
     )
 }
