@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import mixing, secrets, sharding
 from weftline.llm.common import word_count
-from weftline.llm.oracles import ORACLES
+from weftline.llm.oracles import OP2, ORACLES
 from weftline.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -83,12 +83,15 @@ def test_mix_odd_rows(spark, folder):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
-def test_mix_against_sql(spark):
+@pytest.mark.parametrize("name", [*ORACLES, "op2_shard_bytes"])
+def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
-    ours = QUERIES["op1_mix_sources"](spark, FOLDER)
-    theirs = con.sql(ORACLES["op1_mix_sources"])
-    assert list(ours.columns) == list(theirs.columns) and sorted(map(tuple, ours.collect())) == sorted(theirs.fetchall())
+    ours = QUERIES[name](spark, FOLDER)
+    theirs = con.sql({**ORACLES, "op2_shard_bytes": OP2}[name])
+    columns = sorted(ours.columns)
+    assert columns == sorted(theirs.columns)
+    assert sorted(map(tuple, ours.select(columns).collect()), key=str) == sorted(theirs.select(*columns).fetchall(), key=str)
 
 
 def test_shards(spark, folder):
