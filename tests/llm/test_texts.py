@@ -136,10 +136,11 @@ def brute_components(rows):
     return sorted((k is None, k or 0, len(sets[i]), str(least.get(find(i)) if sets[i] else k)) for i, k in enumerate(ids))
 
 
-@pytest.mark.parametrize("small, block", [(32, 512), (2, 3)])
+@pytest.mark.parametrize("small, block", [(32, 512), (2, 3), (1, 2)])
 def test_near_duplicates(spark, folder, monkeypatch, small, block):
     monkeypatch.setattr(ngramjoin, "SMALL_LIST", small)
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    monkeypatch.setattr(ngramjoin, "FEW", 16 if block > 3 else block - 1)
     rng = random.Random(5)
     words, rows = vocabulary(rng), []
     for group in range(12):

@@ -16,7 +16,9 @@ over no more than a spanning forest of what the maps allow. The components of th
 clusters: any similar pair lies within one. Each cluster's whole sets of 64-bit shingle hashes come
 together once, again in blocks if it is large; pairs are verified nearest first, those that links have
 joined already are skipped, and a block hands over a spanning forest of true links. So no group is
-expanded into its pairs, and no link between different texts is lost.
+expanded into its pairs, and no link between different texts is lost. Of more than `FEW` blocks, one meets
+all others first; only members that this has not joined to the largest part then meet the rest, so a
+set in a group of a million copies moves a few times and not once for each block.
 
 Defined results: A-Z are lower-cased; a text with fewer than `width` words is one shingle, the whole
 sequence; null, empty and blank texts have no shingles and are linked with nothing, not even each
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix, table, utf8, words_of
+from .common import blocks, drop, mix, table, utf8, words_of
 from .components import components
 
 WIDTH = 5
@@ -42,6 +44,7 @@ CHUNK = 1 << 14
 LEAST_MAP = 1024  # bits
 SMALL_LIST = 32
 BLOCK = 512
+FEW = 16  # blocks of a list or cluster that are compared each with each
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -319,10 +322,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= 80 * (len(a) + len(b) - shared)
 
 
-def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
     """Links between members of `left` and `right` (places in `sets`): enough to give the components of
-    all such links. Nearest pairs are tried first."""
-    part, out, same = np.arange(len(sets)), [], np.array_equal(left, right)
+    all such links. `part`: a number for each place, equal where links are known already. Nearest pairs are tried first."""
+    part, out, same = part.copy(), [], np.array_equal(left, right)
     size = np.array([len(x) for x in sets])
     maps = Maps([parity_map(x) for x in sets])
     for k in left.tolist():
@@ -339,22 +342,51 @@ def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[
     return out
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """Members of lists (key, node, ...) to all pairs of blocks (i, j) of their list."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("count"))
-    own = F.pmod(F.xxhash64("node"), F.col("count").cast("long")).cast("int")
-    dealt = members.join(sizes, "key").withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "count")
-
+def _linked(members: DataFrame, payload: DataFrame, columns: list[str], compare, name: str) -> DataFrame:
+    """Links (a, b) within lists or clusters (key, node), forests only. payload: node and the columns that
+    compare(rows, left, right, part) needs; it gives pairs of places."""
 
-def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    own = rows.column("own").to_numpy()
-    return tuple(np.flatnonzero(own == rows.column(c)[0].as_py()) for c in ("i", "j"))
+    def found(rows: pa.Table) -> pa.Table:
+        side, labels = rows.column("side").to_numpy(), rows.column("label").to_numpy()
+        left, right = (np.flatnonzero((side == k) | (side == 2)) for k in (0, 1))
+        pairs = compare(rows, left, right, np.unique(labels, return_inverse=True)[1])
+        node = rows.column("node").to_numpy()
+        a, b = (np.array([node[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
 
+    def compared(dealt: DataFrame) -> DataFrame:
+        """dealt: key, i, j, side (0 left, 1 right, 2 both), node, label and the columns."""
+        return dealt.select("key", "i", "j", "side", "node", "label", *columns).groupBy("key", "i", "j").applyInArrow(found, "a bigint, b bigint")
 
-def map_forest(maps: Maps, size: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("count"))
+    placed = members.join(sizes, "key").join(payload, "node")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("count").cast("long")).cast("int")).withColumn("label", F.col("node"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    # each block with each, or the first with each
+    all_ = placed.where(F.col("count") <= FEW).select("*", upto("count").alias("other"))
+    first = placed.where((F.col("count") > FEW) & (F.col("own") == 0)).select("*", upto("count").alias("other"))
+    others = placed.where((F.col("count") > FEW) & (F.col("own") > 0)).withColumn("other", F.lit(0))
+    dealt = all_.unionByName(first).unionByName(others).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("own") == F.col("i"), 0).otherwise(1)
+    links = table(compared(dealt.withColumn("side", side)), name)
+    big = sizes.where(F.col("count") > FEW)
+    if not big.take(1):
+        return links
+    labels = table(components(links, name), name)
+    large = members.join(big, "key").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    large = table(large.select("key", "node", "count", "label"), name)
+    main = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    rest = table(large.join(main, "key").where(F.col("label") != F.col("main")).select("key", "node", "count", "label"), name)
+    left_over = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    left = rest.join(left_over, "key").join(payload, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")).select("*", upto("count").alias("j"), F.lit(0).alias("side"))
+    right = large.join(left_over, "key").join(payload, "node").withColumn("j", F.pmod(F.xxhash64("node"), F.col("count").cast("long")).cast("int")).select("*", upto("parts").alias("i"), F.lit(1).alias("side"))
+    order = ["key", "i", "j", "side", "node", "label", *columns]
+    return links.unionByName(table(compared(left.select(order).unionByName(right.select(order))), name))
+
+
+def map_forest(maps: Maps, size: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
     """Links between members of `left` and `right` (places) that the maps allow: a spanning forest."""
-    part, out, same = np.arange(len(size)), [], np.array_equal(left, right)
+    part, out, same = part.copy(), [], np.array_equal(left, right)
     for k in left.tolist():
         rest = right[(part[right] != part[k]) & ((right > k) | (not same)) & (5 * np.minimum(size[right], size[k]) >= 4 * np.maximum(size[right], size[k]))]
         for other in rest[9 * maps.differences(k, rest) <= size[rest] + size[k]].tolist():
@@ -371,30 +403,16 @@ def _split(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def _found_pairs(node: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
-    a, b = (np.array([node[f[k]] for f in found], np.int64) for k in (0, 1))
-    return pa.table({"a": a, "b": b})
-
-
 def _long_pairs(lists: DataFrame, maps: DataFrame) -> DataFrame:
     """Candidate links (a, b) within long lists, forests only."""
-
-    def compare(rows: pa.Table) -> pa.Table:
-        node = rows.column("node").to_numpy()
-        return _found_pairs(node, map_forest(Maps(_split(rows.column("map"))), rows.column("n").to_numpy(), *_sides(rows)))
-
-    dealt = _dealt(lists.where(F.col("c") > SMALL_LIST).select("key", "node").join(maps, "node"))
-    return dealt.select("key", "i", "j", "own", "node", "n", "map").groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    compare = lambda rows, left, right, part: map_forest(Maps(_split(rows.column("map"))), rows.column("n").to_numpy(), left, right, part)
+    return _linked(lists.where(F.col("c") > SMALL_LIST).select("key", "node"), maps, ["n", "map"], compare, "join-long").distinct()
 
 
 def _true_links(clusters: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) within clusters (key, node), forests only, by whole sets (node, shingles)."""
-
-    def compare(rows: pa.Table) -> pa.Table:
-        return _found_pairs(rows.column("node").to_numpy(), forest(_split(rows.column("shingles")), *_sides(rows)))
-
-    dealt = _dealt(clusters).select("key", "i", "j", "own", "node").join(sets, "node")
-    return dealt.select("key", "i", "j", "own", "node", "shingles").groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    compare = lambda rows, left, right, part: forest(_split(rows.column("shingles")), left, right, part)
+    return _linked(clusters, sets, ["shingles"], compare, "join-links")
 
 
 def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -414,8 +432,9 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     pairs = table(_short_pairs(lists, maps).unionByName(_long_pairs(lists, maps)), "join-pairs")
     clusters = table(components(pairs, "join-clusters").withColumnRenamed("component", "key"), "join-clusters")
     wanted = classes.select("node", "doc_id").join(clusters.select("node"), "node", "left_semi")
-    links = table(_true_links(clusters, _sets_for(docs, wanted, width)), "join-links")
-    found = components(links, "join-components")
+    whole = table(_sets_for(docs, wanted, width), "join-sets")
+    found = components(_true_links(clusters, whole), "join-components")
+    drop(whole)
 
     label = F.coalesce("component", "node")
     labels = classes.select("node", "least").join(found, "node", "left").select("node", label.alias("label"), "least")
