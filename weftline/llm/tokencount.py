@@ -1,9 +1,9 @@
 """Token counts of whole texts by a tokenizer file, with lengths the only thing that leaves a batch.
 
 Long texts are split where the pre-tokenizer starts a new piece whatever surrounds it: before a single
-space between two ASCII letters. Counts of the parts then add up to the count of the whole. Parts are
-encoded in batches of about `batch_bytes`, so memory follows that bound and not the longest text; a
-text that offers no such place stays whole.
+space between two letters. Counts of the parts then add up to the count of the whole. Parts are encoded in
+batches of about `batch_bytes` UTF-8 bytes, so memory follows that bound and not the longest text; a text
+that offers no such place (base64, scripts without spaces) stays whole, as its words cannot be cut safely.
 
 Defined results: null counts as the empty text (0 tokens); special strings inside a text are handled
 as the library does by default; nothing is added, cut or padded. Equal texts get equal counts. Other
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+_SAFE = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 _loaded: dict[str, object] = {}
 
 
@@ -73,7 +73,7 @@ def count_all(texts: list[str], vocabulary: str, part_chars: int, batch_bytes: i
         for part in parts(text, part_chars) if splits else (text,):
             held.append(part)
             owners.append(i)
-            size += len(part)
+            size += len(part) if part.isascii() else len(part.encode())
             if size >= batch_bytes:
                 flush()
                 size = 0
