@@ -5,7 +5,7 @@ time linear in the features by the identity sum over factors of ((sum v_if x_i)^
 
 Features of a text: its words (A-Z lower-cased) hashed to `word_bins`, valued by damped counts of unit
 length; and statistics of its structure (case, digits, punctuation, symbols, word and line lengths,
-repeated words and lines, size), each as one indicator of a band. Metadata columns, if named, add
+repeated words and lines, size), each as one indicator of a band and as a number. Metadata columns, if named, add
 their indicators too. Ids, labels, languages and sources are not looked at.
 
 Fitting takes at most `max_training_rows` labelled rows, the ones with the lowest seeded hash of their
@@ -39,7 +39,7 @@ class Settings:
     factors: int = 8
     steps: int = 600
     rate: float = 0.02
-    decay: float = 1e-5
+    decay: float = 1e-3
     batch: int = 256
     seed: int = 7
     max_training_rows: int = 20_000
@@ -99,18 +99,21 @@ def features(texts: list[bytes], settings: Settings, metadata: list[list] | None
         _band(1 - np.diff(first_of_doc) / words), _log_band(line, 0.9), _band(repeated), _log_band(sizes, 1.4), _band(top / words), _band(stutter),
     ]
     columns = [bins + k * BANDS + b for k, b in enumerate(bands)]
-    first = bins + len(STATISTICS) * BANDS
+    first = bins + len(STATISTICS) * (BANDS + 1)
     for k, column in enumerate(metadata or []):
         codes = [first + k * 256 + int(mix(np.array([hash_text(v)], np.uint64))[0] & np.uint64(255)) for v in column]
         columns.append(np.array(codes, np.int64))
+    # each statistic once more as a number, so that neighbouring bands speak for each other
+    columns += [np.full(n, bins + len(STATISTICS) * BANDS + k) for k in range(len(bands))]
     dense = np.stack(columns, 1) if n else np.zeros((0, len(columns)), np.int64)
+    worth = np.concatenate([np.full((n, len(columns) - len(bands)), 0.5), np.stack(bands, 1) / (BANDS - 1)], 1) if n else np.zeros((0, len(columns)))
     counts = np.diff(first_of_doc) + dense.shape[1]
     offsets = np.concatenate([[0], np.cumsum(counts)])
     index, weight = np.empty(offsets[-1], np.int32), np.empty(offsets[-1], np.float32)
     place = np.arange(len(key)) + own * dense.shape[1]
     index[place], weight[place] = key % bins, value
     spots = (offsets[1:, None] - dense.shape[1] + np.arange(dense.shape[1])) if n else np.zeros((0, 0), np.int64)
-    index[spots], weight[spots] = dense, 0.5
+    index[spots], weight[spots] = dense, worth
     return offsets, index, weight
 
 
@@ -152,7 +155,7 @@ class Model:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings: Settings, n_metadata: int = 0) -> Model:
     """Logistic loss by `steps` Adam steps over shuffled batches, however few or many the rows; both labels weigh
     alike, so that 0.5 lies between them where one is rare. The same rows in the same order give the same model."""
-    size = settings.word_bins + len(STATISTICS) * BANDS + 256 * n_metadata
+    size = settings.word_bins + len(STATISTICS) * (BANDS + 1) + 256 * n_metadata
     rng = np.random.default_rng(settings.seed)
     model = Model(settings, 0.0, np.zeros(size, np.float32), rng.normal(0, 0.02, (size, settings.factors)).astype(np.float32))
     if not len(rows):
