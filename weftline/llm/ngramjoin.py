@@ -439,5 +439,6 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     label = F.coalesce("component", "node")
     labels = classes.select("node", "least").join(found, "node", "left").select("node", label.alias("label"), "least")
     least = labels.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = sets.select("doc_id", "n", "node").join(labels.join(least, "label").select("node", "component_id"), "node", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = some.select("doc_id", "n", "node").join(table(labels.join(least, "label").select("node", "component_id"), "join-named"), "node")
+    blank = sets.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))  # linked with nothing
+    return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(blank)
