@@ -31,6 +31,18 @@ def test_golden(spark, name, vertices, edges, expected, last):
     assert last is None or done.superstep == last
 
 
+def test_hubs(spark, monkeypatch):
+    """Vertices of many edges give the same ranks, wherever their edges lie."""
+    from weftline.operators import pagerank as module
+
+    v, e = frames(spark, "A B C D E", "AB AC AD AE BA CA DA EA EB")
+    plain = {r.id: r["rank"] for r in pagerank(v, e).scores.collect()}
+    monkeypatch.setattr(module, "HUB", 2)
+    assert {r.id: r["rank"] for r in pagerank(v, e).scores.collect()} == pytest.approx(plain, abs=1e-12)
+    monkeypatch.setattr(module, "HUB", 1)
+    assert {r.id: r["rank"] for r in pagerank(v, e).scores.collect()} == pytest.approx(plain, abs=1e-12)
+
+
 def test_steps_and_limits(spark):
     v, e = frames(spark, "A B C", "AB BC")
     assert {r["rank"] for r in pagerank(v, e, steps=1).scores.collect()} == {0.0}

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from . import urls
 
-# d: only a line feed ends a line; u with i: case folds beyond ASCII. A dot does not match a line feed.
+#: What counts as a base element, an anchor, nofollow and a title. d: only a line feed ends a
+#: line; u with i: case folds beyond ASCII. A dot does not match a line feed.
 BASE = r"""(?iud)<base.*?href[\t\n\f\r ]*?=[\t\n\f\r ]*?"(.*?)[\t\n\f\r ]*?\""""
 ANCHOR = r"""(?iud)<a.*?href[\t\n\f\r ]*?=[\t\n\f\r ]*?"[\t\n\f\r ]*?(.*?)[\t\n\f\r ]*?".*?>"""
 NOFOLLOW = r"""(?iud)rel[\t\n\f\r ]*?=[\t\n\f\r ]*?"?nofollow"?"""

@@ -5,7 +5,9 @@
 
 Parallel edges count, self-loops do not. Dead ends are one scalar a step, never edges to everywhere.
 Edges carry 1 / outdeg and stay partitioned by source on the executors; a superstep shuffles the ranks
-(one row a vertex, one exchange for both joins) and partial sums of contributions. Ranks are written as
+(one row a vertex, one exchange for both joins) and partial sums of contributions. The edges of hubs (HUB
+out-edges, or a 65,536th of all edges if that is more) lie by destination instead; the ranks of these
+vertices, 65,536 at most, are broadcast. Ranks are written as
 a scratch table after each step, which also adds up the step's two scalars: plans stay as short as the
 first, a lost executor costs one step, and the table of the step before goes."""
 
@@ -21,6 +23,9 @@ from ..errors import InvalidDestination
 from ..sources.scratch import drop, table
 
 
+HUB = 1 << 17
+
+
 @dataclass(frozen=True)
 class Config:
     damping: float = 0.85
@@ -72,8 +77,14 @@ def pagerank(vertices: DataFrame, edges: DataFrame, *, config: Config = Config()
         raise InvalidDestination("an edge leads to a vertex that is not there")
     if not strict:
         real = real.join(ids.toDF("known"), F.col("dst") == F.col("known"), "left_semi")
-    degrees = out_degrees(real)
-    weighted = real.join(degrees, "src").select("src", "dst", (1 / F.col("degree")).alias("weight")).repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    degrees = table(out_degrees(real), "degrees")
+    total = degrees.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
+    hub = F.col("degree") >= max(HUB, -(-total // 65_536))
+    with_weight = lambda some: real.join(some, "src").select("src", "dst", (1 / F.col("degree")).alias("weight"))
+    hubs = degrees.where(hub)
+    some_hubs = bool(hubs.take(1))
+    weighted = with_weight(degrees.where(~hub)).repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    spread = with_weight(F.broadcast(hubs)).repartition(parts, "dst").persist(StorageLevel.MEMORY_AND_DISK) if some_hubs else None  # at most 65,536
     try:
         base = table(ids.join(degrees, F.col("id") == F.col("src"), "left").select("id", F.col("src").isNull().alias("dead")), "ranks")
         number, dead = base.agg(F.count(F.lit(1)), F.count_if("dead")).first()
@@ -86,7 +97,11 @@ def pagerank(vertices: DataFrame, edges: DataFrame, *, config: Config = Config()
             if steps is None and difference < config.tolerance:
                 break
             step += 1
-            got = ranks.join(weighted, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("weight")).alias("received"))
+            sent = ranks.join(weighted, F.col("id") == F.col("src")).select("dst", (F.col("rank") * F.col("weight")).alias("part"))
+            if some_hubs:
+                known = ranks.join(F.broadcast(hubs.select("src")), F.col("id") == F.col("src")).select("src", "rank")
+                sent = sent.unionByName(spread.join(F.broadcast(known), "src").select("dst", (F.col("rank") * F.col("weight")).alias("part")))
+            got = sent.groupBy("dst").agg(F.sum("part").alias("received"))
             fixed = (1 - d) / number + d * residual
             rank = F.lit(fixed) + d * F.coalesce("received", F.lit(0.0))
             after, sums = ranks.join(got, F.col("id") == F.col("dst"), "left").select("id", "dead", F.col("rank").alias("old"), rank.alias("rank")), Observation()
@@ -99,3 +114,5 @@ def pagerank(vertices: DataFrame, edges: DataFrame, *, config: Config = Config()
         return Ranks(ranks.select("id", "rank"), step if steps is None else steps, difference)
     finally:
         weighted.unpersist()
+        if spread is not None:
+            spread.unpersist()

@@ -16,6 +16,7 @@ def _stamp(number: str) -> str:
 #: Percent-encoded path of a root-relative target: bytes that a path may not hold, one by one.
 _ENCODED = r"list_aggregate(list_transform(string_split(h, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9\-._~$&+,/:;=@%!''()*]$') THEN c WHEN c = ' ' THEN '%20' ELSE url_encode(c) END), 'string_agg', '')"
 
+#: The patterns of functions/html.py and functions/urls.py stand here and below as RE2 takes them.
 PAGES = rf"""
 p AS (SELECT page_id, url, html, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site,
       regexp_extract_all(html, '(?i)<a.*?href\s*?=\s*?"\s*?(.*?)\s*?".*?>', 1) AS hrefs FROM pages),
