@@ -623,3 +623,49 @@ def test_pipeline(spark, folder):
     assert done.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     empty = folder([], labels, items)
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_pipeline_odd_rows(spark, folder):
+    """Every stage: null ids, texts and sources, blank, very long and repeated texts, columns with the pipeline's own names."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = vocabulary(rng, 2000)
+    item = " ".join(rng.choices(words, k=30))
+    long = " ".join(rng.choices(words, k=30_000))
+    prose = [(k, " ".join(rng.choices(words, k=60)).capitalize() + ".") for k in range(100, 160)]
+    rows = [*ODD, *prose, prose[0], (None, prose[1][1]), (None, None), (300, long), (301, long + " end"), (302, "before " + item + " after"), (302, "before " + item + " after"), (303, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard string, slot string, __number string, __mix_size string"
+    docs = spark.createDataFrame([(k, t, None, None if n % 3 == 0 else f"s{n % 4}", None, "x", "y", "z", "m") for n, (k, t) in enumerate(rows)], schema).repartition(3)
+    at = folder([], [(k, int(k % 9 > 0), 0) for k, _ in prose], [(1, item), (2, None), (3, " ")])
+    plain = lambda df: sorted(map(str, df.collect()))
+    count = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    given = count(docs)
+
+    kept = corpus_pipeline.keep_quality(spark, docs, at)
+    assert kept.columns == docs.columns and all(n == given[x] for x, n in count(kept).items())  # equal texts go or stay together
+    unlearned = corpus_pipeline.keep_quality(spark, docs, folder([]))
+    assert plain(unlearned) == plain(docs)
+
+    single = corpus_pipeline.one_of_each_group(spark, docs, at)
+    texts = [t or "" for t, in single.select("text").collect()]
+    assert single.columns == docs.columns and sum(not t.strip() for t in texts) == sum(not (t or "").strip() for _, t in rows)
+    full = [" ".join(t.split()).lower() for t in texts if t.strip()]
+    assert len(full) == len(set(full)) == len({" ".join(t.split()).lower() for _, t in rows if (t or "").strip()}) - 1  # the long text's near copy goes, too
+
+    at = folder([], [], [(1, item), (2, None), (3, " ")])
+    clean = corpus_pipeline.without_benchmark(spark, docs, at)
+    assert clean.columns == docs.columns and count(clean) == collections.Counter({x: n for x, n in given.items() if x[0] != 302})
+
+    drawn = corpus_pipeline.mixed(spark, docs, at)
+    assert drawn.columns == docs.columns and set(count(drawn)) <= set(given) and all(n <= 3 * given[x] for x, n in count(drawn).items())
+    assert count(corpus_pipeline.mixed(spark, docs, at)) == count(drawn)
+
+    placed = corpus_pipeline.sharded(spark, docs, at)
+    assert sorted(placed.columns) == sorted(docs.columns) and count(placed) == given
+    by = collections.defaultdict(list)
+    for r in placed.collect():
+        by[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and set(by) <= set(range(16))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), at).count() == 0

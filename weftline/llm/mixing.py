@@ -125,14 +125,14 @@ def with_repetitions(docs: DataFrame, plan: DataFrame, *, id_col: str, source_co
     """`docs` with source_size, target and repetitions (0 to max_epochs) by the plan, under names with
     `prefix`; a map-side join while the plan is small enough for the session's broadcast threshold. `size`:
     the size of a row of docs, as the plan was made with."""
-    renamed = plan.toDF(*[f"__mix_{c}" for c in plan.columns])
-    sized = docs.select(*[docs[c] for c in docs.columns], size.alias("__mix_size"), unit_bits(seed, docs[id_col]).alias("__mix_bits"), id_text(docs[id_col]).alias("__mix_key"))
-    joined = sized.join(renamed, sized[source_col].eqNullSafe(renamed["__mix_source"]))
-    bits, key = F.col("__mix_bits"), F.col("__mix_key")
+    # docs' own columns are one struct until the end, so that no name of theirs can clash
+    sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), docs[source_col].alias("own_source"), size.alias("size"), unit_bits(seed, docs[id_col]).alias("bits"), id_text(docs[id_col]).alias("key"))
+    joined = sized.join(plan, sized["own_source"].eqNullSafe(plan["source"]))
+    bits, key = F.col("bits"), F.col("key")
     before_next = lambda r: r["next_bits"].isNull() | _behind(r["next_bits"], r["next_key"], bits, key)
-    extra = F.exists("__mix_ranges", lambda r: _behind(bits, key, r["from_bits"], r["from_key"]) & before_next(r) & (F.col("__mix_size") <= r["most"]))
-    reps = F.col("__mix_whole") + F.when(extra, 1).otherwise(0)
-    return joined.select(*[sized[c] for c in docs.columns], F.col("__mix_source_size").alias(f"{prefix}source_size"), F.col("__mix_target").alias(f"{prefix}target"), reps.alias(f"{prefix}repetitions"))
+    extra = F.exists("ranges", lambda r: _behind(bits, key, r["from_bits"], r["from_key"]) & before_next(r) & (F.col("size") <= r["most"]))
+    reps = F.col("whole") + F.when(extra, 1).otherwise(0)
+    return joined.select("d.*", F.col("source_size").alias(f"{prefix}source_size"), F.col("target").alias(f"{prefix}target"), reps.alias(f"{prefix}repetitions"))
 
 
 def cyclic_weights(sized: DataFrame, cycle: int = 3) -> DataFrame:
