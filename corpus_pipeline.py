@@ -35,12 +35,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of documents linked by shared 5-word shingles, the first row stays, whatever the ids: they may be
-    null or repeat. So one of equal rows stays. Null, empty and blank texts are linked with nothing and stay."""
+    """Operator 6: of documents linked by shared 5-word shingles, the one with the smallest id stays, the first row of
+    equal ids, one without an id only among its like; so one of equal rows stays. Null, empty and blank texts
+    are linked with nothing and stay."""
     number = _free(docs, "__number")
     rows = _numbered(docs, number)
-    grouped = ngramjoin.linked_components(rows, id_col=number)
-    gone = table(grouped.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "pipeline-gone")
+    grouped = ngramjoin.linked_components(rows, id_col=number).select(F.col("doc_id").alias("number"), "component_id")
+    named = grouped.join(rows.select(F.col(number).alias("number"), "doc_id"), "number")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("first")).select("first.number")
+    gone = table(grouped.select("number").join(first, "number", "left_anti"), "pipeline-gone")
     return ngramjoin.without_ids(rows, gone, id_col=number).select(*docs.columns)
 
 
