@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import let
 from .common import table
 
 #: The base patterns, and which group of a match is the value.
@@ -49,6 +50,9 @@ _MAY = {
 }
 
 
+_FOUND = "array<struct<start:int,end:int,value:string>>"
+
+
 def spans(text: Column, pattern: str, value_group: int, least: int) -> Column:
     """All leftmost, non-overlapping matches whose value has `least` characters or more, as an array of
     (start, end, value); positions in code points, end exclusive."""
@@ -56,13 +60,17 @@ def spans(text: Column, pattern: str, value_group: int, least: int) -> Column:
     values = matches if value_group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     between = F.split(text, pattern, -1)
     zipped = F.arrays_zip(matches.alias("m"), values.alias("v"), F.slice(between, 1, F.size(matches)).alias("b"))
-    number = F.size(zipped)
-    width = F.ceil(F.sqrt(number)).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), F.ceil(number / width).cast("int") - 1), lambda i: F.slice(zipped, i * width + 1, width))
-    found = "array<struct<start:int,end:int,value:string>>"
-    within = F.transform(runs, lambda run: F.aggregate(
-        run,
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {found})").alias("found")),
+    return let(zipped, lambda z: let(_walked(z, least), _placed))  # each worked out once
+
+
+def _walked(zipped: Column, least: int) -> Column:
+    """Matches with the text before each, in runs: each run's length, and its matches with places from its start."""
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(zipped)))).cast("int")
+    number = F.ceil(F.size(zipped) / width).cast("int")
+    first = F.when(number > 0, F.sequence(F.lit(0), number - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(first, lambda i: F.aggregate(
+        F.slice(zipped, i * width + 1, width),
+        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_FOUND})").alias("found")),
         lambda acc, z: F.struct(
             (acc["at"] + F.length(z["b"]) + F.length(z["m"])).alias("at"),
             F.when(
@@ -70,13 +78,17 @@ def spans(text: Column, pattern: str, value_group: int, least: int) -> Column:
                 F.concat(acc["found"], F.array(F.struct((acc["at"] + F.length(z["b"])).alias("start"), (acc["at"] + F.length(z["b"]) + F.length(z["m"])).alias("end"), z["v"].alias("value")))),
             ).otherwise(acc["found"]).alias("found"),
         ),
-    ))  # fmt: skip  places from the start of each run
+    ))
+
+
+def _placed(runs: Column) -> Column:
+    """All matches of the runs, with places from the start of the text."""
     begins = F.aggregate(
-        within, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("begins")),
+        runs, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("begins")),
         lambda acc, run: F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins")),
     )["begins"]
-    moved = F.zip_with(within, begins, lambda run, begin: F.transform(run["found"], lambda s: F.struct((s["start"] + begin).alias("start"), (s["end"] + begin).alias("end"), s["value"].alias("value"))))
-    return F.when(number > 0, F.flatten(moved)).otherwise(F.expr(f"cast(array() as {found})"))
+    moved = F.zip_with(runs, begins, lambda run, begin: F.transform(run["found"], lambda s: F.struct((s["start"] + begin).alias("start"), (s["end"] + begin).alias("end"), s["value"].alias("value"))))
+    return F.flatten(moved)
 
 
 def _of_kind(kind: str):
