@@ -669,3 +669,17 @@ def test_pipeline_odd_rows(spark, folder):
     assert all(sorted(x) == list(range(len(x))) for x in by.values()) and set(by) <= set(range(16))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), at).count() == 0
+
+
+def test_near_copies_meet_in_one_block(spark):
+    """Candidates are dealt by what they share, not by ids, so that a block sends a string of near copies once."""
+    rng = random.Random(31)
+    words, s = vocabulary(rng), suffixes.Settings(text_bytes=20_000, block_bytes=60_000, slice_bytes=10_000, route_entries=5000)
+    texts = [" ".join(rng.choices(words, k=150)) for _ in range(150)]
+    rows = [(1000 * c + k, t + f" own words {k} {c}") for c in range(2) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "key long, text string").repartition(4)
+    work = docs.select("key", F.col("key").alias("ord"), F.unhex(F.sha2("text", 256)).alias("sha"), "text")
+    blocks = suffixes.candidate_blocks(suffixes.pieces(found := suffixes.text_blocks([(work, None)], s), suffixes.shared_anchors(found, 3, s), s), s)
+    kept = [suffixes.Candidates(bytes(r["meta"]), bytes(r["data"]), s).sort_triples().sort_strings() for r in blocks.collect()]
+    starts, sent = sum(len(b.starts) for b in kept), sum(len(np.unique(b.ids)) for b in kept)
+    assert len(kept) > 4 and sent < 0.65 * starts
