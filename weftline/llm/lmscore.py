@@ -4,18 +4,19 @@ Tokens are words (A-Z lower-cased) and one end per text. A context of k tokens i
 `least` times (2); it stores the symbols seen `least` times behind it, if the gram without its first token
 was looked at and seen as often; the others share its remainder. It is a state of the tree if its
 next-token distribution diverges from that of the longest state that is a suffix of it: the log-likelihood
-that it wins on the training counts must exceed `penalty` for each symbol it stores. Contexts seen `sure`
-times are states without a test. So a context's length follows the text, up to `depth` tokens; all minima
+that it wins on the training counts must exceed `penalty` for each symbol it stores. If `sure` is set, contexts
+seen that often are states without a test. So a context's length follows the text, up to `depth` tokens; all minima
 are absolute numbers, alike at every size, and the tree grows with the corpus. A state's distribution is
 smoothed with that of its longest suffix state; the root's with a slot for unknown words, by absolute
 discounting. A token is scored by the longest state that is a suffix of what precedes it.
 
 How it runs: texts become blocks of token numbers once. For each order, every block sends its distinct
-contexts with their grams and counts to routes by the context's hash (by the gram's where a context is
-seen `sure` times, so that none fills a route); a route adds up, tests, and tells each block what its
-contexts and grams got. No text is moved after the first step, no model is broadcast but one row for each
-of the `sure` contexts (65,536 at most: beyond 2**35 tokens their number decides, not 2**19 occurrences),
-and in the end each block adds up the scores of its own texts.
+contexts with their grams and counts to routes by the context's hash; a route adds up, tests, and tells each
+block what its contexts and grams got. The grams of a context seen `spread` times go by the gram's hash, so that
+none fills a route; such contexts are tested alike, their sums being added up over the routes in two steps. Gains
+are whole multiples of 1 / GAIN, so where a context is tested does not change its result. No text is moved after
+the first step, no model is broadcast but one row for each spread context (65,536 at most: beyond 2**35 tokens
+their number decides, not 2**19 occurrences), and in the end each block adds up the scores of its own texts.
 
 Log probabilities are base 10 and whole multiples of 1 / SCALE, so sums do not depend on order. Defined
 results: null, empty and blank texts are one end token; null ids count as the empty text when rows are
@@ -43,6 +44,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 LOW = (np.uint64((1 << 40) - 1), np.uint64((1 << 32) - 1))  # of a symbol's code, behind one token and behind more
 SHORT = np.uint64(16)  # bits of a context's code that are not sent
 SCALE = float(1 << 20)
+GAIN = float(1 << 16)
+SPREAD = -2  # the block of rows that hold the grams of spread contexts
 
 
 @dataclass(frozen=True)
@@ -51,7 +54,8 @@ class Settings:
     least: int = 2
     penalty: float = 2.0
     discount: float = 0.5
-    sure: int = 1 << 19
+    sure: float = float("inf")
+    spread: int = 1 << 19
     block_bytes: int = 1 << 23
     route_entries: int = 1_500_000
 
@@ -181,7 +185,7 @@ def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Order:
     """What a block sends for one order. Tokens whose context is looked at (`at`), the context of each; the
-    contexts' codes, counts and whether they are seen `sure` times. Of the tokens whose gram is looked at
+    contexts' codes, counts and whether they are seen `spread` times. Of the tokens whose gram is looked at
     (`own`, places in `at`): the gram of each; the grams' contexts, codes one order below and what is sent of
     them, training counts and log probabilities one order below. Rows of (route, context): `pairs`; the grams in order of these rows: `dealt`."""
 
@@ -189,7 +193,7 @@ class Order:
     context: np.ndarray
     codes: np.ndarray
     seen: np.ndarray
-    sure: np.ndarray
+    spread: np.ndarray
     own: np.ndarray
     gram: np.ndarray
     gram_context: np.ndarray
@@ -247,7 +251,7 @@ class Block:
         codes, times, rank = codes[by], times[by], np.empty(none + 1, np.int64)
         rank[names[by]] = np.arange(len(by))
         context = rank[name]
-        sure = times >= self.sure
+        spread = times >= self.spread
         own = np.flatnonzero(often[at])
         below_gram, own_context = self.gram[at[own]], context[own]
         first, gram = _grouped(own_context * (none + 1) + below_gram)
@@ -257,16 +261,16 @@ class Block:
         count = np.bincount(gram[self.learns[at[own]]], minlength=len(first)) if counts else None
         route = (codes >> np.uint64(64 - bits)).astype(np.int64) if len(codes) else np.zeros(0, np.int64)
         n = max(1, len(codes))
-        if sure.any():
-            spread = (mix(codes[gram_context] ^ low, 17) >> np.uint64(64 - bits)).astype(np.int64)
-            pair = np.where(sure[gram_context], spread, route[gram_context]) * n + gram_context
-            pairs = np.unique(np.concatenate([pair, (route * n + np.arange(len(codes)))[~sure]]))
+        if spread.any():
+            by_gram = (mix(codes[gram_context] ^ low, 17) >> np.uint64(64 - bits)).astype(np.int64)
+            pair = np.where(spread[gram_context], by_gram, route[gram_context]) * n + gram_context
+            pairs = np.unique(np.concatenate([pair, (route * n + np.arange(len(codes)))[~spread]]))
             dealt = np.argsort(pair, kind="stable")
         else:
             pair = route[gram_context] * n + gram_context  # in order already
             pairs, dealt = route * n + np.arange(len(codes)), np.arange(len(pair))
         ends = np.arange((1 << bits) + 1) * n
-        return Order(at, context, codes, times, sure, own, gram, gram_context, code, low, count, self.log[at[own[first]]], pairs, dealt, np.searchsorted(pairs, ends), np.searchsorted(pair[dealt], ends))
+        return Order(at, context, codes, times, spread, own, gram, gram_context, code, low, count, self.log[at[own[first]]], pairs, dealt, np.searchsorted(pairs, ends), np.searchsorted(pair[dealt], ends))
 
     def sent(self, o: Order) -> list[tuple[int, bytes]]:
         """(route, data) of an order."""
@@ -287,17 +291,18 @@ class Block:
 
     def learn(self, o: Order, got: list[bytes], hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         """Take what the routes answered about the order. hot: codes, numbers of stored symbols and their counts
-        of the contexts that are seen `sure` times."""
+        of the spread contexts."""
         parts = [unpack(d) for d in got]
         whole = lambda k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64)
         back = np.zeros(len(o.codes), np.int64)
         back[o.pairs % max(1, len(o.codes))] = -whole(0).astype(np.int64)
         count = np.zeros(len(o.dealt), np.int64)
         count[o.dealt] = whole(1).astype(np.int64)
-        if o.sure.any():
-            which = np.flatnonzero(o.sure)
-            at = np.searchsorted(hot[0], o.codes[which] >> SHORT)
-            back[which] = np.where(hot[1][at] > 0, _back(o.seen[which], hot[1][at], hot[2][at], self.s), 0)
+        if o.spread.any() and len(hot[0]):
+            which = np.flatnonzero(o.spread)
+            at = np.minimum(np.searchsorted(hot[0], o.codes[which] >> SHORT), len(hot[0]) - 1)
+            live = (hot[0][at] == o.codes[which] >> SHORT) & (hot[1][at] > 0)
+            back[which] = np.where(live, _back(o.seen[which], hot[1][at], hot[2][at], self.s), 0)
         stored = (count >= self.s.least) & (back[o.gram_context] < 0)
         kept = np.flatnonzero(stored)
         log, c = np.zeros(len(count), np.int64), o.gram_context[kept]
@@ -313,8 +318,8 @@ class Block:
         self.log[o.at] = new
 
     @property
-    def sure(self) -> int:
-        return max(self.s.sure, self.root.n >> 16)
+    def spread(self) -> int:
+        return max(self.s.spread, self.root.n >> 16)
 
 
 def _back(seen: np.ndarray, symbols: np.ndarray, held: np.ndarray, s: Settings) -> np.ndarray:
@@ -322,9 +327,26 @@ def _back(seen: np.ndarray, symbols: np.ndarray, held: np.ndarray, s: Settings)
     return np.minimum(-1, _whole(np.log10((seen - held + s.discount * symbols + 1) / (seen + 1.0))))
 
 
-def _tested(route: int, asked: list[int], data: list[bytes], sure: int, s: Settings) -> list[tuple[int, bytes]]:
-    """A route's contexts: answers are the back-off of each context (0: no state) and the count of each gram.
-    For the driver: numbers of states and of stored symbols, and the sure contexts with their sums."""
+def _gains(c: np.ndarray, t: np.ndarray, p: np.ndarray, seen: np.ndarray, symbols: np.ndarray, held: np.ndarray, s: Settings) -> np.ndarray:
+    """What each context wins on the symbols it stores, in 1 / GAIN: c, t and p are their contexts, counts and log
+    probabilities one order below."""
+    below = 10 ** (p / SCALE)
+    own = (t - s.discount + (seen - held + s.discount * symbols + 1)[c] * below) / (seen + 1.0)[c]
+    out = np.zeros(len(seen), np.int64)
+    np.add.at(out, c, np.rint(GAIN * t * np.log(own / below)).astype(np.int64))
+    return out
+
+
+def _live(gains: np.ndarray, seen: np.ndarray, symbols: np.ndarray, held: np.ndarray, s: Settings) -> np.ndarray:
+    """Which contexts are states. gains: on all symbols that they store."""
+    rest = np.rint(GAIN * (seen - held) * np.log((seen - held + s.discount * symbols + 1) / (seen + 1.0))).astype(np.int64)
+    won = gains + rest > GAIN * s.penalty * symbols
+    return (symbols > 0) & (won | (seen >= s.sure))
+
+
+def _tested(route: int, asked: list[int], data: list[bytes], spread: int, s: Settings) -> list[tuple[int, bytes]]:
+    """A route's contexts: answers are the back-off of each context (0: no state, or a spread one) and the count of
+    each gram. For the driver: numbers of states and of stored symbols. Of spread contexts: the grams they store."""
     got = [unpack(d) for d in data]
     codes = np.concatenate([summed(g[0]) for g in got])
     number = np.concatenate([g[2] for g in got]).astype(np.int64)
@@ -339,17 +361,46 @@ def _tested(route: int, asked: list[int], data: list[bytes], sure: int, s: Setti
     stored = total >= s.least
     c, p, t = c[stored], p[stored], total[stored]
     symbols, held = np.bincount(c, minlength=size), np.bincount(c, t, size)
-    remains, whole = seen - held + s.discount * symbols + 1, seen + 1.0
-    below = 10 ** (p / SCALE)
-    own = (t - s.discount + remains[c] * below) / whole[c]
-    won = np.bincount(c, t * np.log(own / below), size) + (seen - held) * np.log(remains / whole)
-    is_sure = seen >= sure
-    live = (won > s.penalty * symbols) & (symbols > 0) & ~is_sure
+    is_spread = seen >= spread
+    inside = ~is_spread[c]
+    live = _live(_gains(c[inside], t[inside], p[inside], seen, symbols, held, s), seen, symbols, held, s) & ~is_spread
     back = np.where(live, _back(seen, symbols, held, s), 0)
     edge, gram_edge = np.cumsum([0] + [len(g[0]) for g in got]), np.cumsum([0] + [len(g[3]) for g in got])
     out = [(block, pack(-back[context[a:b]], total[group[i:j]])) for block, a, b, i, j in zip(asked, edge[:-1], edge[1:], gram_edge[:-1], gram_edge[1:])]
-    hot = np.flatnonzero(is_sure)
-    return [*out, (NOBODY, pack(np.array([int(live.sum()) + int((symbols[hot] > 0).sum()), int(stored.sum())]), names[hot], symbols[hot], held[hot]))]
+    if not inside.all():
+        hot = np.flatnonzero(is_spread)
+        out.append((SPREAD, pack(names[hot], seen[hot], np.searchsorted(hot, c[~inside]), t[~inside], signed(p[~inside]))))
+    return [*out, (NOBODY, pack(np.array([int(live.sum()), int(stored.sum())])))]
+
+
+def _spread_contexts(answers: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the spread contexts, ascending, how many symbols each stores (0: no state) and the counts of these."""
+
+    def summed_up(run, *columns: str) -> list[np.ndarray]:
+        rows_ = answers.where(F.col("block") == SPREAD).select("data").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("code", *columns)))
+        got = [tuple(r) for r in rows_.groupBy("code").agg(*[(F.max if c == "seen" else F.sum)(c) for c in columns]).toLocalIterator()]
+        table_ = np.array(sorted(got), np.int64).reshape(-1, 1 + len(columns))
+        return list(table_.T)
+
+    def count(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                codes, seen, c, t, _ = unpack(data)
+                c = c.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (codes, seen, np.bincount(c, minlength=len(codes)), np.bincount(c, t, len(codes)))], names=["code", "seen", "symbols", "held"])
+
+    codes, seen, symbols, held = summed_up(count, "seen", "symbols", "held")  # codes have 48 bits
+
+    def gain(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                own, _, c, t, p = unpack(data)
+                at = np.searchsorted(codes, own.astype(np.int64))
+                won = _gains(c.astype(np.int64), t.astype(np.int64), unsigned(p), seen[at], symbols[at], held[at], s)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(won)], names=["code", "won"])
+
+    won = summed_up(gain, "won")[1] if len(codes) else held
+    return codes.astype(np.uint64), np.where(_live(won, seen, symbols, held.astype(np.float64), s), symbols, 0).astype(np.float64), held.astype(np.float64)
 
 
 # ---------------------------------------------------------------- training and scoring
@@ -357,7 +408,7 @@ def _tested(route: int, asked: list[int], data: list[bytes], sure: int, s: Setti
 
 @dataclass
 class Tree:
-    """What the blocks have been told of each order; the sure contexts of each order."""
+    """What the blocks have been told of each order; the spread contexts of each order."""
 
     tokens: DataFrame
     root: Root
@@ -394,7 +445,7 @@ def train(docs: DataFrame, learns: Column, settings: Settings = Settings(), *, i
     texts = tokens.select("data").mapInArrow(ends, "texts bigint").agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
     tree = Tree(tokens, root, bits, texts, [words], [], [])
     for order in range(1, s.depth + 1):
-        sure = max(s.sure, root.n >> 16)
+        spread = max(s.spread, root.n >> 16)
         hot = list(tree.hot)
 
         def send(block: pa.Table, got: dict[int, list[bytes]], order=order, hot=hot) -> pa.Table:
@@ -404,21 +455,17 @@ def train(docs: DataFrame, learns: Column, settings: Settings = Settings(), *, i
             return pa.Table.from_batches([rows([(number, r, d) for r, d in found])])
 
         sent = met(tokens.select("block", "data"), tree.answers, send, SENT)
-        answers = table(answered(sent, lambda route, asked, data: _tested(route, asked, data, sure, s)), f"lm-states-{order}")
-        live, kept, sums = 0, 0, {}
+        answers = table(answered(sent, lambda route, asked, data: _tested(route, asked, data, spread, s)), f"lm-states-{order}")
+        live, kept = 0, 0
         for _, data in told(answers):
-            states, codes, symbols, held = unpack(data)
+            states = unpack(data)[0]
             live, kept = live + int(states[0]), kept + int(states[1])
-            for c, n, h in zip(codes.tolist(), symbols.tolist(), held.tolist()):
-                have = sums.get(c, (0, 0))
-                sums[c] = (have[0] + n, have[1] + h)
-        keys = sorted(sums)
         if not kept:
             drop(answers)
             break
         tree.answers.append(answers)
-        tree.states.append(live)
-        tree.hot.append((np.array(keys, np.uint64), np.array([sums[k][0] for k in keys], np.float64), np.array([sums[k][1] for k in keys], np.float64)))
+        tree.hot.append(_spread_contexts(answers, s))
+        tree.states.append(live + int((tree.hot[-1][1] > 0).sum()))
     return tree
 
 
