@@ -699,3 +699,18 @@ def test_often_seen_contexts_are_tested_like_all(spark):
         found.append((tree.states, sorted((str(r.doc_id), r.score) for r in lmscore.scored(tree, s).collect()), np.concatenate([h[1] for h in tree.hot])))
     assert found[0][:2] == found[1][:2] == found[2][:2]
     assert not len(found[0][2]) and (found[1][2] == 0).any() and (found[1][2] > 0).any()  # some fail the test, some pass
+
+
+def test_training_rows_come_part_by_part(spark, monkeypatch):
+    """The driver never holds all training rows as a collected result."""
+    docs = spark.createDataFrame([(k, ("good words here " if k % 2 else "BAD!! 99 ## ") * (1 + k % 7)) for k in range(60)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+
+    def whole(*_):
+        raise AssertionError("all rows at once")
+
+    for name in ("toPandas", "collect", "toArrow"):
+        monkeypatch.setattr(type(docs), name, whole)
+    model = quality.train(docs, labels, lambda doc_id: doc_id % 5 != 0)
+    scores = model.score([b"good words here good words here", b"BAD!! 99 ## BAD!! 99 ## "])
+    assert scores[0] > 0.5 > scores[1]

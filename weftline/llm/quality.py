@@ -9,7 +9,7 @@ repeated words and lines, size), each as one indicator of a band and as a number
 their indicators too. Ids, labels, languages and sources are not looked at.
 
 Fitting takes at most `max_training_rows` labelled rows, the ones with the lowest seeded hash of their
-id, so that bound, not the corpus, decides what the driver holds. Scoring reads every whole text once
+id, so that bound, not the corpus, decides what the driver holds; it reads them part by part. Scoring reads every whole text once
 and moves nothing: the model (a fixed number of floats) goes to the tasks.
 
 Defined results: null counts as the empty text, which has a score like any other; null labels are not
@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, blocks, id_text, mix, utf8, words_of
+from .common import _SPACE, blocks, drop, id_text, mix, table, utf8, words_of
+from .packed import give_back
 
 BANDS = 16
 #: Names of the statistics; each takes BANDS features after the word bins.
@@ -216,10 +217,13 @@ def train(docs: DataFrame, labels: DataFrame, may_learn, *, settings: Settings =
                 out += [(index[x:y].tobytes(), value[x:y].tobytes()) for x, y in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["id", "label", "i", "v"])
 
-    got = rows.select(id_text(F.col("__id")).alias("id"), F.col("__label").alias("label"), text_col, *metadata).mapInArrow(run, "id string, label double, i binary, v binary").toPandas()
-    got = got.sort_values(["id", "label", "i"], kind="stable")
-    pairs = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(got["i"], got["v"])]
-    return fit(pairs, got["label"].to_numpy(np.float32), settings, len(metadata))
+    found = table(rows.select(id_text(F.col("__id")).alias("id"), F.col("__label").alias("label"), text_col, *metadata).mapInArrow(run, "id string, label double, i binary, v binary"), "quality-rows")
+    got = sorted((r["id"], r["label"], bytes(r["i"]), bytes(r["v"])) for r in found.coalesce(8).toLocalIterator())  # a part at a time
+    drop(found)
+    model = fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for _, _, i, v in got], np.array([label for _, label, _, _ in got], np.float32), settings, len(metadata))
+    del got
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text", metadata: tuple[str, ...] = (), keep: list[str] | None = None) -> DataFrame:
