@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html as _html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +24,7 @@ SILENT = ("frame", "frameset", "iframe", "noembed", "noframes", "noscript", "nos
 _SILENT = rf"(?is)<({'|'.join(SILENT)})\b[^>]*>.*?</\1[\t\n\f\r ]*>"
 _COMMENT = r"(?s)<!--.*?-->"
 _TAG = r"""(?s)</?[A-Za-z!?](?:"[^"]*"|'[^']*'|[^'">])*>"""
+_ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
 
 
 @F.pandas_udf(T.StringType())
@@ -29,9 +32,16 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(_html.unescape, na_action="ignore")
 
 
-def unescape(text: Column) -> Column:
-    """Entities decoded once."""
-    return F.coalesce(_unescape(F.when(text.contains("&"), text)), text)
+@F.pandas_udf(T.StringType())
+def _unescape_ended(text: pd.Series) -> pd.Series:
+    """Whole entities only; a name that is not in the table stays, even where it begins with one that is."""
+    decoded = lambda found: _html.unescape(found[0]) if found[0][1] == "#" else html5.get(found[0][1:], found[0])
+    return text.map(lambda t: _ENTITY.sub(decoded, t), na_action="ignore")
+
+
+def unescape(text: Column, unended: bool = True) -> Column:
+    """Entities decoded once; with `unended`, also old ones that lack their semicolon (&amp at the end of a cut text)."""
+    return F.coalesce((_unescape if unended else _unescape_ended)(F.when(text.contains("&"), text)), text)
 
 
 def escape(text: Column) -> Column:
@@ -72,13 +82,13 @@ def raw_title(html: Column) -> Column:
     return F.when(html.rlike(TITLE), F.regexp_extract(html, TITLE, 1))
 
 
-def title(html: Column) -> Column:
-    return trimmed(unescape(collapsed(stripped(F.coalesce(raw_title(html), F.lit(""))))))
+def title(html: Column, unended: bool = True) -> Column:
+    return trimmed(unescape(collapsed(stripped(F.coalesce(raw_title(html), F.lit("")))), unended))
 
 
-def text(html: Column) -> Column:
+def text(html: Column, unended: bool = True) -> Column:
     """All text of a page: tags gone, white space collapsed, entities decoded, trimmed."""
-    return trimmed(unescape(collapsed(stripped(html))))
+    return trimmed(unescape(collapsed(stripped(html)), unended))
 
 
 def page_base(url: Column, html: Column) -> Column:

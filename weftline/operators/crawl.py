@@ -48,9 +48,9 @@ def exploded_links(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.posexplode(html.page_links(F.col("url"), F.col("raw_content"))).alias("ordinal", "a")).select("url", "ordinal", F.col("a.url").alias("link"), F.col("a.nofollow").alias("nofollow"))
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
-    """Adds title and text_content."""
-    return pages.withColumn("title", html.title(F.col("raw_content"))).withColumn("text_content", html.text(F.col("raw_content")))
+def extract_text(pages: DataFrame, *, unended: bool = True) -> DataFrame:
+    """Adds title and text_content. `unended`: see html.unescape."""
+    return pages.withColumn("title", html.title(F.col("raw_content"), unended)).withColumn("text_content", html.text(F.col("raw_content"), unended))
 
 
 def documents_of(payload: DataFrame, now) -> DataFrame:
