@@ -1,7 +1,7 @@
 """Text index and search.
 
 Documents are rows; the inverted index (`Index`) is a written table of postings, one row for each term of a
-document with its places by field, in ranges of the term. Texts are cut into tokens once, when the index is
+document with its places by field, in order of the term in every file. Texts are cut into tokens once, when the index is
 built; a query reads the postings of its terms only, by the statistics of the files, and documents are
 looked up by key for the hits alone. A phrase is told by the places of its terms. Ranking is by PageRank first
 or by a sum with BM25; ties go by id, so pages never overlap."""
@@ -12,11 +12,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import MissingLinkId, NotFound
 from ..functions import html, text
+from ..functions.urls import let
 from ..schemas import instant, never
 from ..sources.scratch import table
 
@@ -66,6 +67,21 @@ def postings(docs: DataFrame) -> DataFrame:
     return both.select("link_id", F.col("f.field").alias("field"), F.posexplode(text.tokens(F.col("f.text"))).alias("pos", "term")).select("link_id", "field", "term", "pos")
 
 
+def gathered(title: Column, content: Column) -> Column:
+    """The terms of one document from its tokens by field: array of (term, title, content, tf), the places in each
+    field ascending. Tokens are sorted with their places, so a term's are next to each other."""
+    placed = lambda f, k: F.transform(f, lambda t, i: F.struct(t.alias("term"), F.lit(k).alias("field"), i.alias("pos")))
+    places = lambda run, k: F.transform(F.filter(run, lambda x: x["field"] == k), lambda x: x["pos"])
+
+    def runs(found: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (F.get(found, i)["term"] != F.get(found, i - 1)["term"]))
+        of = lambda run: F.struct(run[0]["term"].alias("term"), places(run, 0).alias("title"), places(run, 1).alias("content"), F.size(run).alias("tf"))
+        cut = lambda at: F.transform(at, lambda i, k: let(F.slice(found, i + 1, F.coalesce(F.get(at, k + 1), F.size(found)) - i), of))
+        return F.when(F.size(found) > 0, let(begins, cut))
+
+    return let(F.array_sort(F.concat(placed(title, 0), placed(content, 1))), runs)
+
+
 def index_subset(docs: DataFrame) -> DataFrame:
     """What an index keeps of a document: title, content and PageRank, by id."""
     return docs.select("link_id", "title", "content", "pagerank")
@@ -95,25 +111,21 @@ class Index:
 
     @classmethod
     def build(cls, docs: DataFrame, path: str | None = None) -> Index:
-        """One pass over the texts and one shuffle, to ranges of (term, document), in which the places of a
-        term are gathered. Written to `path`, or as a scratch table."""
+        """One pass over the texts, without a shuffle: a document's postings are gathered where it is read, and each
+        task writes those of its documents in order of (term, document), so that queries skip all pages of the files
+        but those of their terms. Documents are told apart by link_id. Written to `path`, or as a scratch table."""
         spark = docs.sparkSession
         cut = docs.select("link_id", *[text.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in ("title", "content")])
-        cut = cut.withColumn("len", F.size("title") + F.size("content"))
-        lengths = cut.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"))
-        placed = lambda f: F.transform(f, lambda t, i: F.struct(t.alias("term"), F.lit(f).alias("field"), i.alias("pos")))
-        flat = cut.select("link_id", "len", F.explode(F.concat(placed("title"), placed("content"))).alias("t")).select("t.*", "link_id", "len")
-        ranged = flat.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", "link_id")
-        places = lambda f: F.array_sort(F.collect_list(F.when(F.col("field") == f, F.col("pos")))).alias(f)  # noqa: E731  of one term in one document
-        gathered = ranged.groupBy("term", "link_id").agg(places("title"), places("content"), F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len"))
-        ordered = gathered.sortWithinPartitions("term", "link_id")
+        cut, lengths = cut.withColumn("len", F.size("title") + F.size("content")), Observation()
+        cut = cut.observe(lengths, F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"))
+        flat = cut.select("link_id", "len", F.explode(gathered(F.col("title"), F.col("content"))).alias("t"))
+        ordered = flat.select("t.term", "link_id", "t.title", "t.content", "t.tf", "len").sortWithinPartitions("term", "link_id")
         if path is None:
             terms = table(ordered, "postings")
         else:
             ordered.write.mode("overwrite").parquet(path)
-            terms = spark.read.schema(gathered.schema).parquet(path)
-        number, mean = lengths.first()
-        return cls(docs, terms, number, mean)
+            terms = spark.read.schema(ordered.schema).parquet(path)
+        return cls(docs, terms, lengths.get["n"], lengths.get["mean"])
 
     @classmethod
     def open(cls, docs: DataFrame, path: str) -> Index:
