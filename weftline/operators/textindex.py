@@ -82,6 +82,29 @@ def gathered(title: Column, content: Column) -> Column:
     return let(F.array_sort(F.concat(placed(title, 0), placed(content, 1))), runs)
 
 
+def frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df, cf): in how many documents a term occurs, and how often in all. A document tells of its own terms
+    where it is read, so partial sums are shuffled, not tokens. Rows that share a link_id are one document: those, and
+    those alone, meet by it first."""
+    repeated = docs.groupBy("link_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("link_id").isNotNull()).select("link_id")
+    if not repeated.take(1):
+        return _summed(_counted(docs))
+    apart = postings(docs.join(repeated, "link_id", "left_semi")).groupBy("term", "link_id").agg(F.count(F.lit(1)).alias("cf"))
+    return _summed(_counted(docs.join(repeated, "link_id", "left_anti")).unionByName(apart.select("term", F.lit(1).cast("long").alias("df"), "cf")))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(term, df, cf) of documents that do not share an id: a row for each token, and one for each term of a document."""
+    every = F.concat(*[text.tokens(F.coalesce(F.col(f), F.lit(""))) for f in ("title", "content")])
+    rows = lambda f, df, cf: F.transform(f, lambda t: F.struct(t.alias("term"), df.cast("long").alias("df"), cf.cast("long").alias("cf")))
+    both = let(every, lambda t: F.concat(rows(t, F.lit(0), F.lit(1)), rows(F.array_distinct(t), F.col("link_id").isNotNull(), F.lit(0))))
+    return docs.select(F.explode(both).alias("t")).select("t.*")
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def index_subset(docs: DataFrame) -> DataFrame:
     """What an index keeps of a document: title, content and PageRank, by id."""
     return docs.select("link_id", "title", "content", "pagerank")
