@@ -7,7 +7,7 @@ from ipaddress import IPv4Network, ip_network
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import any_of
+from .urls import any_of, let
 
 #: Loopback, private use, link-local, this network, broadcast, unique local.
 PRIVATE = ("127.0.0.0/8", "::1/128", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "fe80::/10", "0.0.0.0/8", "255.255.255.255/32", "fc00::/7")
@@ -17,9 +17,9 @@ _V4 = r"\A([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\z"
 
 def ipv4_number(ip: Column) -> Column:
     """An IPv4 address as a number; null for anything else."""
-    octets = [F.try_to_number(F.regexp_extract(ip, _V4, k), F.lit("999")).cast("long") for k in range(1, 5)]
-    number = octets[0] * (1 << 24) + octets[1] * (1 << 16) + octets[2] * (1 << 8) + octets[3]
-    return F.when(ip.rlike(_V4) & (octets[0] < 256) & (octets[1] < 256) & (octets[2] < 256) & (octets[3] < 256), number)
+    octets = F.transform(F.split(F.when(ip.rlike(_V4), ip), r"\."), lambda o: o.cast("long"))
+    number = lambda o: F.when(F.array_max(o) < 256, o[0] * (1 << 24) + o[1] * (1 << 16) + o[2] * (1 << 8) + o[3])
+    return let(octets, number)
 
 
 def ipv6_digits(ip: Column) -> Column:
@@ -34,8 +34,8 @@ def ipv6_digits(ip: Column) -> Column:
 
 def in_networks(ip: Column, networks: tuple[str, ...] = PRIVATE) -> Column:
     """Whether an address lies in one of the networks; null for what is no address."""
-    v4, v6 = ipv4_number(ip), ipv6_digits(ip)
     parsed = [ip_network(n) for n in networks]
-    in4 = any_of([v4.between(int(n.network_address), int(n.broadcast_address)) for n in parsed if isinstance(n, IPv4Network)])
-    in6 = any_of([v6.between(f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for n in parsed if not isinstance(n, IPv4Network)])
-    return F.when(v4.isNotNull(), in4).when(v6.isNotNull(), in6)
+    in4 = lambda v: any_of([v.between(int(n.network_address), int(n.broadcast_address)) for n in parsed if isinstance(n, IPv4Network)])
+    in6 = lambda v: any_of([v.between(f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for n in parsed if not isinstance(n, IPv4Network)])
+    # each form is read once, and only addresses that are not IPv4 are looked at as IPv6
+    return let(ipv4_number(ip), lambda v: F.when(v.isNotNull(), in4(v)).otherwise(let(F.when(ip.contains(":"), ipv6_digits(ip)), lambda w: F.when(w.isNotNull(), in6(w)))))
