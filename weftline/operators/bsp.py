@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidDestination, UnknownEdgeSource
-from ..sources.scratch import drop, table
+from ..sources.scratch import drop, sorted_join, table
 
 
 class Accumulator:
@@ -158,7 +158,7 @@ class Execution:
         """One superstep; returns how many vertices ran."""
         program, step = self.program, Step(self.number, dict(self.values))
         vertices, messages = self.vertices, self.messages
-        seen = vertices.withColumn("msg", F.lit(None).cast(program.message)) if messages is None else vertices.join(messages, vertices["id"] == messages["to"], "left").drop("to")
+        seen = vertices.withColumn("msg", F.lit(None).cast(program.message)) if messages is None else vertices.join(sorted_join(messages), vertices["id"] == messages["to"], "left").drop("to")
         runs = F.col("active") | F.col("msg").isNotNull()
         kind = self.graph.vertices.schema["value"].dataType
         after = table(seen.select(
@@ -170,7 +170,7 @@ class Execution:
         self.ran = row.pop("__ran")
         self.values = {k: 0 if v is None else v for k, v in row.items()}
         self.vertices, self.messages, before, self._written = after.select("id", "value", "active"), None, self._written, [after]
-        along = lambda: took_part.select(F.col("id").alias("src"), "value").join(self.edges.withColumnRenamed("value", "edge_value"), "src")
+        along = lambda: took_part.select(F.col("id").alias("src"), "value").join(sorted_join(self.edges.withColumnRenamed("value", "edge_value")), "src")
         sent = []
         if program.payload:
             sent.append(along().select(F.col("dst").alias("to"), program.payload(step).alias("payload")))
@@ -183,7 +183,7 @@ class Execution:
                 self.messages = table(self.messages, "messages")
                 self._written.append(self.messages)
             changed = along().select("src", "dst", program.edges(step).alias("value"))
-            rest = self.edges.join(took_part.select(F.col("id").alias("src")), "src", "left_anti")
+            rest = self.edges.join(sorted_join(took_part.select(F.col("id").alias("src"))), "src", "left_anti")
             self.edges = table(rest.unionByName(changed.select("src", "dst", F.col("value").cast(self.edges.schema["value"].dataType).alias("value"))), "edges")
             self._written.append(self.edges)
         else:
@@ -199,7 +199,7 @@ class Execution:
             return merged
         merged = table(merged, "messages")
         self._written.append(merged)
-        unknown = merged.join(self.vertices.select("id"), F.col("to") == F.col("id"), "left_anti")
+        unknown = merged.join(sorted_join(self.vertices.select("id")), F.col("to") == F.col("id"), "left_anti")
         if self.settings.strict and unknown.take(1):
             raise InvalidDestination("a message goes to a vertex that is not there")
         if self.settings.relay is not None:
